@@ -38,3 +38,49 @@ def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
     if start < len(sizes):
         out.append((start, len(sizes)))
     return out
+
+
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The values scattered over all 64 bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def rolling_hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` characters from each position; one per position that has so many behind it.
+
+    A polynomial modulo 2**64: prefix sums of characters times powers of the base's inverse, taken back by
+    powers of the base, so each window costs the same whatever its size.
+    """
+    n = len(points)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+    steps = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, inverse))))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((points.astype(np.uint64) + np.uint64(0x51ED)) * steps)))
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - size, np.uint64(_BASE)))))
+    return mixed((sums[size:] - sums[:-size]) * powers)
+
+
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each ``size`` neighbouring values."""
+    if len(values) < size:
+        return values[:0]
+    have, out = 1, values
+    while have < size:
+        step = min(have, size - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def inside_one(sizes: np.ndarray, window: int, total: int) -> np.ndarray:
+    """Of ``total - window + 1`` starts in concatenated texts, which windows lie inside one text."""
+    count = max(0, total - window + 1)
+    ends = np.repeat(np.cumsum(sizes), sizes)[:count]
+    return np.arange(count) + window <= ends
