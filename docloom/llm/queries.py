@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.leakage import find_leaks
+from docloom.llm.markup import strip_markup
 from docloom.llm.mixing import Mixture
 from docloom.llm.repetition import repeated_share
 from docloom.llm.scannoise import ScanRepair
@@ -65,6 +66,14 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_share(chunks, "chunk_id", "text").dropDuplicates(["chunk_id"]).join(marked, "chunk_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_markup(_chunks(spark, sf_dir)).select("chunk_id", F.explode("markup_kinds").alias("markup_kind")).distinct()
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_markup(_chunks(spark, sf_dir)).dropDuplicates(["chunk_id"])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
 
@@ -90,7 +99,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_sentences, p3_found, p3_repaired, p5_found, p5_shares, p8_found, p8_containment, p9_report, p9_mixture, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_sentences, p3_found, p3_repaired, p5_found, p5_shares, p6_found, p6_clean, p8_found, p8_containment, p9_report, p9_mixture, p10_found, p10_shares)
 }
 
 ORACLE: dict[str, str] = {
