@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.codepoints import code_points
+from docloom.session import cut_lineage
 
 # Characters that recognition takes for one another, misread form first.
 MISREAD = {
@@ -241,10 +242,12 @@ class ScanRepair:
     def __init__(self, df: DataFrame, corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text", source_col: str = "metadata.source_file", least: int = 3, ratio: int = 8) -> None:
         self.id_col = id_col.split(".")[-1]
         vocab = corpus.select(F.col(text_col).alias("text")).where("text is not null").mapInPandas(_count, "tri long, word string, n long")
-        self.tri = vocab.where("tri is not null").groupBy("tri").agg(F.sum("n").alias("n"))
-        self.words = vocab.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+        # counted once, written, and read by every decision
+        vocab = cut_lineage(vocab.groupBy("tri", "word").agg(F.sum("n").alias("n")))
+        self.tri = vocab.where("tri is not null").select("tri", "n")
+        self.words = vocab.where("word is not null").select("word", "n")
         self.rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0")
-        self.found = self.rows.mapInPandas(_candidates, _DECISION)
+        self.found = cut_lineage(self.rows.mapInPandas(_candidates, _DECISION))
         self.least, self.ratio = least, ratio
 
     def headers(self) -> DataFrame:
