@@ -63,7 +63,12 @@ def extracted_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "gbk"), infer: bool = True) -> DataFrame:
-    """A CSV file with a header, in the first of the encodings in which it holds no replacement character."""
+    """A CSV file with a header, in the first of the encodings in which it holds no replacement character.
+
+    Encodings beyond Unicode's need the session to allow Java's charsets, which is set where one is given.
+    """
+    if any(not e.lower().startswith(("utf", "iso-8859-1", "us-ascii")) for e in encodings):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for k, encoding in enumerate(encodings):
         df = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", infer).csv(path)
         if k + 1 == len(encodings):
