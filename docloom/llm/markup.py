@@ -1,9 +1,9 @@
 """Markup residue: flat text blocks classified by decision trees, and texts cleaned with their structure kept.
 
 A text is cut into flat blocks (lines). Each block has its number of words, its link density, counts of marks
-of each kind of markup, certain and doubtful ones, and the same of its neighbours. Two trees, grown on the
-small labelled table below, read these numbers: one says whether a block's marks of a kind are markup at
-all (a star may multiply, a bracket may hold a note), the other gives the block's role. Cleaning goes by role.
+of each kind of markup, certain and doubtful ones, and the same of its neighbours. Trees grown on
+the small labelled table below read these numbers: one for each kind says whether a block's marks are markup
+at all (a star may multiply, a bracket may hold a note), one gives the block's role. Cleaning goes by role.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ KINDS = ("html", "markdown", "wiki", "latex")
 ELEMENTS = "a abbr address article aside audio b base big blockquote body br button canvas caption center cite code col colgroup dd del details dfn div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol optgroup option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
 _COMMANDS = "begin end item section subsection subsubsection chapter paragraph textbf textit emph texttt underline footnote label ref cite eqref caption centering hline frac sqrt sum int prod lim infty alpha beta gamma delta epsilon lambda mu pi rho sigma tau phi omega cdot times leq geq neq approx left right text mathrm mathbf quad"
 
-_TAG = re.compile(rf"</?(?:{ELEMENTS.replace(' ', '|')})(?=[\s/>])(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<!DOCTYPE[^<>]*>", re.I)
+_TAG = re.compile(rf"</?(?:{ELEMENTS.replace(' ', '|')})(?=[\s/>])(?:[^<>\"']|\"[^\"\n]*\"|'[^'\n]*')*>|<!DOCTYPE[^<>]*>", re.I)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _MD_CERTAIN = re.compile(
@@ -87,7 +87,7 @@ class Blocks:
     def kind_row(self, k: int, kind: str) -> list[float]:
         certain, doubtful = self.marks[k][kind]
         near = [self.marks[j][kind] if (j := self._near(k, s)) is not None else (0, 0) for s in (-1, 1)]
-        return [certain, doubtful, near[0][0] + near[1][0], near[0][1] + near[1][1], self.words[k], self.linked[k], KINDS.index(kind)]
+        return [certain, doubtful, near[0][0] + near[1][0], near[0][1] + near[1][1], self.words[k], self.linked[k]]
 
     def role_row(self, k: int) -> list[float]:
         line = self.lines[k]
@@ -134,24 +134,32 @@ LABELLED = [
     ["html table|<table><tr><td>the fee of the first month</td><td>the due day of the month</td></tr><tr><td>the fee of the second</td><td>the last day</td></tr></table>", "html list|<ul><li>one paper for each of the persons who live in the house</li><li>a copy of it for the office of the town</li></ul>", "html heading|<h3>What the office asks of each person who comes for the first time</h3>"],
     ["latex list|\\begin{itemize} \\item one paper for each of the persons who live in the house \\item a copy of it for the office of the town \\end{itemize}", "latex table|\\begin{tabular}{ll} the fee of the first month & the due day of the month \\\\ the fee of the second & the last day \\end{tabular}", "latex heading|\\section{What the office asks of each person who comes for the first time in a year}", "latex formula|\\( a_x = 12 \\) is the value that the office takes for the first of the years in question here"],
     ["html code|<pre><code>the_fee_of_the_month = the_fee_of_the_year / 12 and so on for the others of the list", "html code|return the_fee_of_the_month  # what the office asks for</code></pre>"],
+    ["- text|if a<5", "- text|R&D", "- text|a share of <72% or >29"],
+    ["- text|fill in <name>", "- text|see {3} and [4]", "- text|a_b* of c"],
+    ["- text|costs $5 or $6", "- text|in C:\\papers\\9", "- text|at 5\\% or so"],
+    ["latex text|see \\ref{eq:1}", "- text|3. of May"],
+    ["wiki text|[[fee]] due", "- text|it's 'so' said"],
+    ["html text|fee<br>", "markdown text|**fee**", "latex formula|$a_1 = 2$"],
     ["- heading|Questions on fees", "- text|The office has answered all of the letters of the last week."],
 ]
 
 
 @cache
-def trees() -> tuple[Node, Node]:
-    """The tree for the kinds and the tree for the roles, grown on the labelled table."""
-    kind_rows, kind_labels, role_rows, role_labels = [], [], [], []
+def trees() -> tuple[dict[str, Node], Node]:
+    """The trees for each of the kinds and the tree for the roles, grown on the labelled table."""
+    kind_rows: dict[str, list] = {k: [] for k in KINDS}
+    kind_labels: dict[str, list] = {k: [] for k in KINDS}
+    role_rows, role_labels = [], []
     for lines in LABELLED:
         labels = [x.partition("|")[0].split(" ") for x in lines]
         blocks = Blocks("\n".join(x.partition("|")[2] for x in lines))
         for k, (kinds, role) in enumerate(labels):
             for kind in KINDS:
-                kind_rows.append(blocks.kind_row(k, kind))
-                kind_labels.append("yes" if kind in kinds.split("+") else "no")
+                kind_rows[kind].append(blocks.kind_row(k, kind))
+                kind_labels[kind].append("yes" if kind in kinds.split("+") else "no")
             role_rows.append(blocks.role_row(k))
             role_labels.append(role)
-    return grow(kind_rows, kind_labels), grow(role_rows, role_labels)
+    return {kind: grow(kind_rows[kind], kind_labels[kind]) for kind in KINDS}, grow(role_rows, role_labels)
 
 
 _ANY = re.compile(r"[<&#*_`~|>\[{=\\$!+\-']|\d[.)] ")
@@ -159,12 +167,12 @@ _ANY = re.compile(r"[<&#*_`~|>\[{=\\$!+\-']|\d[.)] ")
 
 def analyse(text: str) -> tuple[set[str], list[tuple[str, str, set[str]]]]:
     """The kinds of markup of a text, and of each block its line, role and kinds."""
-    kind_tree, role_tree = trees()
+    kind_trees, role_tree = trees()
     blocks = Blocks(text)
     out, found = [], set()
     fenced = False
     for k, line in enumerate(blocks.lines):
-        here = {kind for kind in KINDS if any(blocks.marks[k][kind]) and decide(kind_tree, blocks.kind_row(k, kind)) == "yes"}
+        here = {kind for kind in KINDS if any(blocks.marks[k][kind]) and decide(kind_trees[kind], blocks.kind_row(k, kind)) == "yes"}
         fence = "markdown" in here and re.match(r"\s*(?:```|~~~)", line) is not None
         if fenced and not fence:
             here = set()
