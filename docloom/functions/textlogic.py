@@ -225,8 +225,11 @@ class Sizes:
     least: int = 200
 
 
-def pack_blocks(blocks: list[Block], sizes: Sizes) -> list[list[Block]]:
-    """Neighbouring blocks gathered into chunks: tables alone, oversized paragraphs cut at sentences, headings as borders."""
+def pack_blocks(blocks: list[Block], sizes: Sizes, next_path: bool = False) -> list[list[Block]]:
+    """Neighbouring blocks gathered into chunks: tables alone, oversized paragraphs cut at sentences, headings as borders.
+
+    With ``next_path`` the last chunk before a heading carries the path that the heading opens (and its own level).
+    """
     out: list[list[Block]] = []
     open_: list[Block] = []
     size = 0
@@ -240,6 +243,8 @@ def pack_blocks(blocks: list[Block], sizes: Sizes) -> list[list[Block]]:
     for b in blocks:
         n = len(b.content)
         if b.kind == "heading":
+            if next_path and open_:
+                open_[0] = Block(open_[0].kind, open_[0].content, open_[0].line, b.path, open_[0].level)
             close()
         elif b.kind == "table" or (n > sizes.largest and b.kind != "paragraph"):
             close()
@@ -296,14 +301,14 @@ def document_sentences(blocks: list[Block], repeat: int, profile: Profile) -> di
     return out
 
 
-def chunk_document(text: str, sizes: Sizes = Sizes(), profile: Profile = ZH, repeat: int = 3, cleaning: bool = True, semantic: bool = True) -> list[ChunkRow]:
+def chunk_document(text: str, sizes: Sizes = Sizes(), profile: Profile = ZH, repeat: int = 3, cleaning: bool = True, semantic: bool = True, next_path: bool = False) -> list[ChunkRow]:
     """The chunks of one Markdown text."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     blocks = parse_blocks(squeeze_blank(basic_clean(text, profile) if cleaning else text))
     known = document_sentences(blocks, repeat, profile) if cleaning else {}
     boiler = _boiler(profile)
     out: list[ChunkRow] = []
-    for group in pack_blocks(blocks, sizes):
+    for group in pack_blocks(blocks, sizes, next_path):
         whole = "\n\n".join(b.content for b in group)
         table, listed = any(b.kind == "table" for b in group), any(b.kind == "list" for b in group)
         images = sorted(set(_IMAGE.findall(whole)))

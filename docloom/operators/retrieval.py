@@ -97,6 +97,9 @@ class IvfIndex:
             self.centroids = np.zeros((1, 1))
         self.cells = data.withColumn("cell", self._nearest(1)(F.col("vec"))[0])
 
+    def info(self) -> dict[str, int]:
+        return {"cells": len(self.centroids), "dim": int(self.centroids.shape[1])}
+
     def _nearest(self, n: int):
         centroids = self.spark.sparkContext.broadcast(self.centroids)
         n = min(n, len(self.centroids))

@@ -72,11 +72,15 @@ def long_pieces(df: DataFrame, id_col: str, text_col: str = "text", longest: int
     return _per_text(df, id_col, text_col, "piece_no int, piece string", lambda t: enumerate(textlogic.split_long(t, longest)))
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str = "text", sizes: textlogic.Sizes = textlogic.Sizes(), profile: Profile = ZH, repeat: int = 3, cleaning: bool = True, semantic: bool = True) -> DataFrame:
-    """The chunks of Markdown documents with all their metadata, terms and a deterministic chunk_id."""
+def chunks(df: DataFrame, id_col: str, text_col: str = "text", sizes: textlogic.Sizes = textlogic.Sizes(), profile: Profile = ZH, repeat: int = 3, cleaning: bool = True, semantic: bool = True, next_path: bool = False) -> DataFrame:
+    """The chunks of Markdown documents with all their metadata, terms and a deterministic chunk_id.
+
+    A chunk has the path of its own section; with ``next_path`` the last one of a section has the next one's.
+    A null text has no chunks, and neither has a blank one.
+    """
 
     def rows(text: str):
-        for k, c in enumerate(textlogic.chunk_document(text, sizes, profile, repeat, cleaning, semantic)):
+        for k, c in enumerate(textlogic.chunk_document(text, sizes, profile, repeat, cleaning, semantic, next_path)):
             infos = [{"text": a, "skip_embedding": b, "reason": r} for a, b, r in c.sentence_infos]
             yield k, c.text, c.chunk_type, c.section_path, c.heading_level, c.image_refs, c.start_line, c.end_line, c.has_table, c.has_list, c.skip_embedding, c.semantic_type, c.trigger_words, infos
 

@@ -100,6 +100,8 @@ def test_known_document():
 def test_a_section_keeps_its_own_path():
     chunks = L.chunk_document("# a\n\n第一节的文字。\n\n# b\n\n第二节的文字。", semantic=False)
     assert [c.section_path for c in chunks] == [["a"], ["b"]]
+    late = L.chunk_document("# a\n\n第一节的文字。\n\n# b\n\n第二节的文字。", semantic=False, next_path=True)
+    assert [c.section_path for c in late] == [["b"], ["b"]]
 
 
 def test_packing_limits():
