@@ -28,6 +28,20 @@ def local_session(cores: str = "*", app: str = "docloom", **conf: str) -> SparkS
     return spark
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """The session, its Python workers being told where this package lies if they aren't.
+
+    On a cluster the package is installed on the executors or handed over with ``--py-files``; the path added
+    here then only comes second.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
