@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from docloom.llm.codepoints import blocks, code_points, inside_one, rolling_hashes, sliding_min
 from docloom.session import cut_lineage
 
+#: Length of the shingles that choose windows, in hundredths of a span.
+SHINGLE_SHARE = 60
 _BLOCK = 1_000_000
 _START = -1  # the predecessor of an edge at the beginning of a text
 
@@ -33,7 +35,8 @@ def _minima(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.nda
     points = [code_points(t) for t in texts]
     sizes = np.fromiter(map(len, points), np.int64, len(points))
     joined = np.concatenate(points)
-    shingle = max(1, span * 8 // 25)
+    # longer shingles are shared by fewer texts that share no span, shorter ones have fewer minima
+    shingle = max(1, span * SHINGLE_SHARE // 100)
     ok = inside_one(sizes, span, len(joined))
     least = sliding_min(rolling_hashes(joined, shingle), span - shingle + 1)
     owner = np.repeat(np.arange(len(sizes)), sizes)[: len(ok)]
@@ -90,7 +93,7 @@ class SharedSpans:
         anchors = self.rows.mapInPandas(_anchors(span), f"id {kind}, anchor long")
         several = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("anchor")
         where = anchors.join(several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-        edges = self.rows.join(where, "id").mapInPandas(_edges(span), f"id {kind}, pos int, edge long, before long").dropDuplicates(["id", "pos"])
+        edges = self.rows.join(where, "id").dropDuplicates(["id"]).mapInPandas(_edges(span), f"id {kind}, pos int, edge long, before long")
         self.edges = cut_lineage(edges)
         counted = self.edges.groupBy("edge").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q"))
         self.repeated = cut_lineage(counted.where("a <> b").select("edge", "n", F.when(F.col("p") == F.col("q"), F.col("p")).alias("before")))
