@@ -32,7 +32,7 @@ MISREAD = {
     "晴": "睛", "拔": "拨", "治": "冶", "冶": "治", "今": "令", "令": "今", "由": "田", "田": "由", "甲": "申",
 }
 #: In words of spaced scripts.
-MISREAD_LETTERS = [("c", "e"), ("rn", "m"), ("vv", "w"), ("b", "h"), ("0", "o"), ("1", "l"), ("l", "i"), ("ii", "u"), ("cl", "d"), ("nn", "m"), ("5", "s"), ("I", "l")]
+MISREAD_LETTERS = [("c", "e"), ("rn", "m"), ("vv", "w"), ("b", "h"), ("0", "o"), ("9", "g"), ("1", "l"), ("l", "i"), ("ii", "u"), ("cl", "d"), ("nn", "m"), ("5", "s"), ("I", "l")]
 #: Letters read for digits inside numbers.
 MISREAD_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "Z": "2", "B": "8"}
 _NUMERAL = "0-9一二三四五六七八九十百零〇"
