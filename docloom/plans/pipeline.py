@@ -12,6 +12,7 @@ from docloom.functions.text import preview
 from docloom.functions.textlogic import Sizes
 from docloom.operators import embedding, generation, retrieval, structure
 from docloom.profiles import LATIN, ZH
+from docloom.session import reachable
 from docloom.sources import readers, sinks
 
 
@@ -55,7 +56,7 @@ class Pipeline:
     """Chunks of documents, their vectors, and answers to queries; stages are made when first needed."""
 
     def __init__(self, spark: SparkSession, config: Config | None = None) -> None:
-        self.spark, self.config = spark, config or Config()
+        self.spark, self.config = reachable(spark), config or Config()
         self.chunks: DataFrame | None = None
         self._vectors: DataFrame | None = None
 
