@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +51,23 @@ def extract_terms(text: Column, terms: dict[str, list[str]]) -> Column:
     by_term: dict[str, list[str]] = {}
     for v, s in index.items():
         by_term.setdefault(s, []).append(v)
-    found = [F.when(text.rlike("|".join(_quoted(v) for v in variants)), F.lit(s)) for s, variants in sorted(by_term.items())]
+    found = [F.when(reduce(or_, (text.contains(v) for v in variants)), F.lit(s)) for s, variants in sorted(by_term.items())]
     return F.when(text.isNotNull(), F.array_sort(F.array_compact(F.array(*found)))) if found else F.array().cast("array<string>")
 
 
-def _quoted(v: str) -> str:
-    return "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in v)
+def terms_of(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """(id, standard) of the terms of which a variant occurs in a text.
+
+    A lexicon of at most ``MAX_LITERAL`` variants becomes an expression and nothing is shuffled but the
+    result; a larger one is joined.
+    """
+    known = variant_index(lexicon).limit(MAX_LITERAL + 1).collect()
+    if len(known) > MAX_LITERAL:
+        return terms_by_join(texts, id_col, text_col, lexicon)
+    terms: dict[str, list[str]] = {}
+    for r in known:
+        terms.setdefault(r["standard"], []).append(r["variant"])
+    return texts.select(id_col, F.explode(extract_terms(F.col(text_col), terms)).alias("standard")).distinct()
 
 
 def terms_by_join(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, gram: int = 2) -> DataFrame:

@@ -297,12 +297,12 @@ def lexicon_remove(spark, d):
 
 @query(f"SELECT DISTINCT doc_id, standard FROM documents d JOIN {_INDEX} i ON contains(d.text, i.variant)")
 def term_extraction(spark, d):
-    return terminology.terms_by_join(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "lexicon"))
+    return terminology.terms_of(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "lexicon"))
 
 
 @query(f"SELECT DISTINCT query_id, standard FROM (SELECT DISTINCT query_id, query FROM answer) a JOIN {_INDEX} i ON contains(a.query, i.variant)")
 def query_terms(spark, d):
-    return terminology.terms_by_join(table(spark, d, "answer").select("query_id", "query").distinct(), "query_id", "query", table(spark, d, "lexicon"))
+    return terminology.terms_of(table(spark, d, "answer").select("query_id", "query").distinct(), "query_id", "query", table(spark, d, "lexicon"))
 
 
 _DEFAULT = {v: s for s, vs in ZH.terms.items() for v in vs}

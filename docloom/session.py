@@ -42,9 +42,23 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: A table smaller than this isn't worth an exchange.
+SPREAD_BYTES = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table ``name`` of a data folder, over all cores.
+
+    A table of one small file is one task, however much work its rows make; one that has fewer tasks than the
+    session has cores is redistributed. Tables of any size worth a cluster have more, and are read as they are.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    size = parquet_bytes(path)
+    cores = spark.sparkContext.defaultParallelism
+    if size is None or not SPREAD_BYTES <= size < cores * 16 * SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -21,6 +21,7 @@ def test_both_ways_to_find_terms_agree(spark):
     joined = {}
     for r in terminology.terms_by_join(df, "id", "text", terminology.default_lexicon(spark)).collect():
         joined.setdefault(r["id"], set()).add(r["standard"])
+    assert {(r["id"], r["standard"]) for r in terminology.terms_of(df, "id", "text", terminology.default_lexicon(spark)).collect()} == {(k, t) for k, v in joined.items() for t in v}
     for r in df.select("id", terminology.extract_terms(F.col("text"), ZH_TERMS).alias("t")).collect():
         assert set(r["t"] or []) == joined.get(r["id"], set())
     assert joined[5] == {"意外伤害", "身故"}
