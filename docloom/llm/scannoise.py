@@ -287,7 +287,7 @@ class ScanRepair:
         wrong = suspects.join(self.tri.select(F.col("tri").alias("better"), F.col("n").alias("n_better")), "better").where(f"n_better >= {self.ratio} and n_better >= n * {self.ratio}")
         chars = f.where("kind = 'char'").join(wrong.select("tri", "to"), "tri").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", F.decode(F.unhex(F.lpad(F.hex("to"), 8, "0")), "utf-32").alias("repl"))
         digits = f.where("kind = 'digit'").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", "repl")
-        better = self.words.where("n < 100000").mapInPandas(_misread_words, "word string, n long, better string").join(self.words.select(F.col("word").alias("better"), F.col("n").alias("n_better")), "better")
+        better = self.words.mapInPandas(_misread_words, "word string, n long, better string").join(self.words.select(F.col("word").alias("better"), F.col("n").alias("n_better")), "better")
         better = better.where(f"n_better >= 10 and n_better >= n * {self.ratio}").groupBy("word").agg(F.max_by("better", "n_better").alias("repl"))
         words = f.where("kind = 'word'").drop("repl").join(better, "word").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", "repl")
         out = head
