@@ -15,7 +15,7 @@ from docloom.operators.embedding import dot
 from docloom.profiles import BOOSTS
 
 #: Floats of query vectors held by a worker at once; more queries go in blocks.
-MAX_QUERY_FLOATS = 16_000_000
+MAX_QUERY_FLOATS = 2_000_000
 
 
 def top_k(rows: DataFrame, row_id: str, row_vec: str, query: list[float], k: int = 20) -> DataFrame:
@@ -39,8 +39,8 @@ def _blocks(spark: SparkSession, queries: DataFrame, query_id: str, query_vec: s
 def batch_top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, query_vec: str, row_vec: str, k: int = 20, digits: int = 4) -> DataFrame:
     """(query_id, row_id, score, rank): for each query the k rows of the largest inner product, exactly.
 
-    Queries go to the workers in blocks of bounded size; each Arrow batch of rows is one matrix product and
-    hands on at most k rows a query, so what is shuffled is k rows a query and batch. Scores are rounded to
+    Queries go to the workers in blocks of bounded size; each Arrow batch of rows is one matrix product, and a
+    task keeps the best k rows a query of all its batches, so that is what is shuffled. Scores are rounded to
     ``digits`` before they are compared, ties go by id. Rows without a vector take no part.
     """
     spark = rows.sparkSession
@@ -54,18 +54,28 @@ def batch_top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str,
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             ids, matrix = block.value
+            held: list[pd.DataFrame] = []
+
+            def best() -> pd.DataFrame:
+                every = pd.concat(held).sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
+                return every.groupby("query_id", sort=False).head(k)
+
             for pdf in batches:
                 if not len(pdf):
                     continue
                 vectors = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]])
+                rid = pdf["row_id"].to_numpy()
+                keep = min(k, len(rid))
                 for s in range(0, len(ids), 256):
                     scores = np.round(matrix[s : s + 256] @ vectors.T, digits)
-                    rid = pdf["row_id"].to_numpy()
-                    keep = min(k, len(rid))
-                    # by score, then id: all that tie with the k-th are handed on, the window below decides
+                    # all that tie with the k-th stay, the order by id decides among them
                     limit = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
                     qi, ri = np.nonzero(scores >= limit[:, None])
-                    yield pd.DataFrame({"query_id": ids[s : s + 256][qi], "row_id": rid[ri], "score": scores[qi, ri]})
+                    held.append(pd.DataFrame({"query_id": ids[s : s + 256][qi], "row_id": rid[ri], "score": scores[qi, ri]}))
+                if sum(map(len, held)) > 4 * k * len(ids):
+                    held = [best()]
+            if held:
+                yield best()
 
         part = source.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
