@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.ids import carried, carried_type
+
 #: Boundaries from strong to weak; a child ends where a match ends. Fixed values.
 _LEVELS = [
     re.compile(r"\n(?=#{1,6} |=+ .*=+ *\n|\\(?:sub)*section\{|<h[1-6])|(?<=\n)(?=#{1,6} )"),
@@ -110,9 +112,9 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str = "chunk_id",
     lim = limits.where("chunk_type is not null and max_chars > 0").groupBy("chunk_type").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("l"))
     # an overlap of the whole limit would leave no room for text of its own
     lim = lim.select("chunk_type", F.col("l.max_chars").alias("_limit"), F.least(F.greatest(F.coalesce("l.overlap_chars", F.lit(0)), F.lit(0)), F.col("l.max_chars") - 1).alias("_over"))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(kind_col).alias("chunk_type"), F.col(path_col).alias("_path"))
+    typed = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    rows = df.select(carried(F.col(id_col), typed).alias("_id"), F.col(text_col).alias("_text"), F.col(kind_col).alias("chunk_type"), F.col(path_col).alias("_path"))
     over = rows.join(lim, "chunk_type").where(F.length("_text") > F.col("_limit"))
-    typed = over.schema["_id"].dataType.simpleString()
-    schema = f"_id {typed}, piece_no int, n_pieces int, start_pos int, end_pos int, overlap int, piece string, _path array<string>"
+    schema = f"_id {carried_type(typed)}, piece_no int, n_pieces int, start_pos int, end_pos int, overlap int, piece string, _path array<string>"
     out = over.select("_id", "_text", "_limit", "_over", "_path").mapInPandas(_pieces, schema)
-    return out.select(F.col("_id").alias(id_col.split(".")[-1]), "piece_no", "n_pieces", "start_pos", "end_pos", "overlap", "piece", F.col("_path").alias("section_path"))
+    return out.select(F.col("_id").cast(typed).alias(id_col.split(".")[-1]), "piece_no", "n_pieces", "start_pos", "end_pos", "overlap", "piece", F.col("_path").alias("section_path"))

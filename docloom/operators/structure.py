@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions import textlogic
+from docloom.functions.ids import carried, carried_type
 from docloom.operators.terminology import extract_terms
 from docloom.profiles import ZH, Profile
 
@@ -24,8 +25,8 @@ _CHUNK = (
 def _per_text(df: DataFrame, id_col: str, text_col: str, schema: str, rows_of) -> DataFrame:
     """Rows made of each text, one Arrow batch at a time, no shuffle; a null text makes none."""
     names = ["_id", *(c.strip().split(" ")[0] for c in _split_schema(schema))]
-    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    kind = source.schema["_id"].dataType.simpleString()
+    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    source = df.select(carried(F.col(id_col), kind).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -38,7 +39,7 @@ def _per_text(df: DataFrame, id_col: str, text_col: str, schema: str, rows_of) -
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return source.mapInPandas(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id_col.split(".")[-1])
+    return source.mapInPandas(run, f"_id {carried_type(kind)}, {schema}").withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", id_col.split(".")[-1])
 
 
 def _split_schema(schema: str) -> list[str]:

@@ -135,3 +135,10 @@ def test_chunks_have_stable_ids_and_terms(spark):
     assert "投保人" in row["key_terms"] and row["section_path"] == ["t"]
     assert structure.chunk_statistics(structure.chunks(df.limit(0), "doc_id")).count() == 0
     assert json.dumps(row["trigger_words"]) is not None
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "- 列表"), (None, "文字")], "doc_id long, text string")
+    assert {r["doc_id"] for r in structure.blocks(df, "doc_id").collect()} == {big, None}
+    assert {r["doc_id"] for r in structure.chunks(df, "doc_id").collect()} == {big, None}
