@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.ids import carried, carried_type
 from docloom.llm.codepoints import blocks, category_table, code_points, inside_one, rolling_hashes, sliding_min
 
 SHINGLE = 10
@@ -99,15 +100,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     ``MAX_ITEM_CHARS`` characters; each further block is another pass over all documents.
     """
     spark = docs.sparkSession
-    need = items.select(F.col(item_id).alias("item"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    kinds = {"id": docs.select(F.col(doc_id)).schema[0].dataType.simpleString(), "item": items.select(F.col(item_id)).schema[0].dataType.simpleString()}
+    need = items.select(carried(F.col(item_id), kinds["item"]).alias("item"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     size = need.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = 1 + size // MAX_ITEM_CHARS
-    kinds = {"id": docs.select(F.col(doc_id)).schema[0].dataType.simpleString(), "item": need.schema["item"].dataType.simpleString()}
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = docs.select(carried(F.col(doc_id), kinds["id"]).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     out = None
     for part in range(parts):
         block = need.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).toPandas()
         index = spark.sparkContext.broadcast(ItemIndex(block["item"].tolist(), block["text"].tolist(), min_chars))
-        found = rows.mapInPandas(_search(index), f"id {kinds['id']}, item {kinds['item']}, shared_windows int, item_windows int")
+        found = rows.mapInPandas(_search(index), f"id {carried_type(kinds['id'])}, item {carried_type(kinds['item'])}, shared_windows int, item_windows int")
         out = found if out is None else out.unionByName(found)
-    return out.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "shared_windows", "item_windows", (F.col("shared_windows") / F.col("item_windows")).alias("containment"))
+    return out.select(F.col("id").cast(kinds["id"]).alias(doc_id), F.col("item").cast(kinds["item"]).alias(item_id), "shared_windows", "item_windows", (F.col("shared_windows") / F.col("item_windows")).alias("containment"))

@@ -18,6 +18,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.ids import carried, carried_type
 from docloom.llm.tree import Node, decide, grow
 
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -298,6 +299,6 @@ def strip_markup(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     are taken whole and no shuffle is needed. The trees are grown anew by each worker, on the labelled table.
     """
     kind = df.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, clean_text string, markup_kinds array<string>, headings int, list_items int, table_rows int, code_blocks int, formulas int"
-    return rows.mapInPandas(_clean, schema).withColumnRenamed("id", id_col.split(".")[-1])
+    rows = df.select(carried(F.col(id_col), kind).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {carried_type(kind)}, clean_text string, markup_kinds array<string>, headings int, list_items int, table_rows int, code_blocks int, formulas int"
+    return rows.mapInPandas(_clean, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col.split(".")[-1])

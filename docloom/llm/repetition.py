@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.ids import carried, carried_type
 from docloom.llm.codepoints import blocks, kept
 
 #: Letters ranked at once; a longer text is ranked alone. Bounds memory, changes no result.
@@ -146,11 +147,11 @@ def repeated_share(df: DataFrame, id_col: str, text_col: str, window: int = 20,
     shuffle is needed.
     """
     kind = df.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(_measure(window), f"id {kind}, n_letters long, repeated_letters long, longest_repeat long, n_repeats long")
+    rows = df.select(carried(F.col(id_col), kind).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(_measure(window), f"id {carried_type(kind)}, n_letters long, repeated_letters long, longest_repeat long, n_repeats long")
     share = F.when(F.col("n_letters") > 0, F.col("repeated_letters") / F.col("n_letters")).otherwise(F.lit(0.0))
     # in millionths, so that a share of exactly the limit counts
     over = (F.col("n_letters") > 0) & (F.col("repeated_letters") * 1_000_000 >= F.col("n_letters") * round(min_share * 1_000_000))
     if max_longest is not None:
         over |= F.col("longest_repeat") >= max_longest
-    return out.select(F.col("id").alias(id_col.split(".")[-1]), "n_letters", "repeated_letters", share.alias("repeated_share"), "longest_repeat", "n_repeats", over.alias("excessive"))
+    return out.select(F.col("id").cast(kind).alias(id_col.split(".")[-1]), "n_letters", "repeated_letters", share.alias("repeated_share"), "longest_repeat", "n_repeats", over.alias("excessive"))

@@ -157,3 +157,11 @@ def test_mixture(spark, total):
         assert abs(report["big"]["actual_share"] - 0.5) < 0.02 and abs(report["small"]["actual_share"] - 0.5) < 0.02
     assert {r["doc_id"]: r["times"] for r in mix.used().collect()} == {r["doc_id"]: r["times"] for r in used}
     assert sum(r["taken"] for r in report.values()) == sum(r["tokens"] * r["times"] for r in used) <= mix.total
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 2**60 + 1
+    text = "".join(chr(0x4E00 + k) for k in range(60))
+    df = spark.createDataFrame([(big, text), (None, text)], "doc_id long, text string")
+    items = df.withColumnRenamed("doc_id", "item_id")
+    assert {(r["doc_id"], r["item_id"]) for r in find_leaks(df, items).collect()} == {(a, b) for a in (big, None) for b in (big, None)}
