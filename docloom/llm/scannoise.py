@@ -167,8 +167,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if alone:
                     out.append((ident, "page", k, 0, k, 0, None, None, None, None))
                     continue
-                unstopped = 4 <= len(rest) <= 80 and not _INNER_STOP.search(rest)
-                if k and unstopped and not (_MARKUP.search(line) and not page):
+                if k and not _INNER_STOP.search(rest) and not (_MARKUP.search(line) and not page):
                     key = header_key(rest)
                     if len(key) >= 4:
                         out.append((ident, "line", k, 1 if page else 0, k, 0, source, None, None, key))

@@ -46,6 +46,16 @@ def test_repaired_texts(corpus):
     assert HEAD not in rows["h1"]["text"] and rows["clean"]["noise_kinds"] == []
 
 
+def test_headers_of_any_length(spark):
+    spaced = " ".join("Larkhurst Re — Ridgeway Gold Policy Booklet of the Year".replace(" ", ""))
+    long = "Larkhurst Re Mutual — " + "General Conditions of the Ridgeway Gold Policy " * 3 + "Booklet"
+    assert len(spaced) > 80 and len(long) > 80
+    rows = [(f"{name}{k}", name, f"{BODY[k % 4]}\n{head}\n{BODY[(k + 1) % 4]}") for name, head in (("spaced", spaced), ("long", long)) for k in range(6)]
+    df = spark.createDataFrame(rows, "chunk_id string, source string, text string").selectExpr("chunk_id", "text", "struct(source as source_file) as metadata")
+    rows = ScanRepair(df, df).repaired().collect()
+    assert len(rows) == 12 and all(r["noise_kinds"] == ["header"] and "\n".join(r["text"].split("\n")[1:]) in BODY for r in rows)
+
+
 def test_empty_table(spark, corpus):
     assert ScanRepair(corpus.limit(0), corpus.limit(0)).kinds().count() == 0
 
