@@ -150,6 +150,46 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.array(list(v), dtype=kinds[c]) if c in kinds else list(v) for c, v in zip(_COLUMNS, zip(*rows))})
 
 
+_EDGES = " \t\r　​﻿"
+
+
+def _break(lines: list[str], a: int, b: int) -> tuple[str, int, int]:
+    """How line number a goes on in line number b, as in _joins."""
+    x, y = lines[a].strip(_EDGES), lines[b].strip(_EDGES)
+    how, tri, tri_b = _joins(x, y)
+    if a == 0 and how == "open" and len(x) <= 16 and len(x) * 1.6 < len(y):
+        return "no", 0, 0  # a title above its text
+    return how, tri, tri_b
+
+
+def _over_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Possible breaks between the body lines on both sides of header lines, one or several."""
+    for pdf in batches:
+        out: list[tuple] = []
+        for ident, text, tops in zip(pdf["id"], pdf["text"], pdf["tops"]):
+            lines, tops = text.split("\n"), {int(k) for k in tops}
+            before, over = None, False
+            for k, line in enumerate(lines):
+                if k in tops:
+                    over = True
+                    continue
+                s = line.strip().strip("　​﻿").strip()
+                if not s or not split_page(s)[0]:
+                    continue
+                if over and before is not None:
+                    how, tri, tri_b = _break(lines, before, k)
+                    if how == "sure":
+                        out.append((ident, "sure", before, k, before, 0, None, None, None, None))
+                    elif how == "open":
+                        out.append((ident, "open", before, k, before, 0, None, tri, tri_b, None))
+                before, over = k, False
+            if len(out) > 20_000:
+                yield _frame(out)
+                out = []
+        if out:
+            yield _frame(out)
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each text: page marks, possible headers, possible breaks, possible misreadings."""
     for pdf in batches:
@@ -173,10 +213,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         out.append((ident, "line", k, 1 if page else 0, k, 0, source, None, None, key))
                 body.append(k)
             for a, b in zip(body, body[1:]):
-                x, y = lines[a].strip(" \t\r　​﻿"), lines[b].strip(" \t\r　​﻿")
-                how, tri, tri_b = _joins(x, y)
-                if a == 0 and how == "open" and len(x) <= 16 and len(x) * 1.6 < len(y):
-                    continue  # a title above its text
+                how, tri, tri_b = _break(lines, a, b)
                 if how == "sure":
                     out.append((ident, "sure", a, b, a, 0, None, None, None, None))
                 elif how == "open":
@@ -266,17 +303,20 @@ class ScanRepair:
 
     def decisions(self) -> DataFrame:
         """(id, kind, line_no, pos, size, repl) of all noise: kinds header, page, break, char."""
-        f, headers = self.found, self.headers()
+        f, headers = self.found, cut_lineage(self.headers())
         none = F.lit(None).cast("string")
         zero = F.lit(0)
         head = headers.select("id", F.lit("header").alias("kind"), "line_no", zero.alias("pos"), zero.alias("size"), none.alias("repl"))
         page = f.where("kind = 'page'").select("id", "kind", "line_no", zero.alias("pos"), zero.alias("size"), none.alias("repl"))
         in_head = headers.where("with_page = 1").select("id", F.lit("page").alias("kind"), "line_no", zero.alias("pos"), zero.alias("size"), none.alias("repl"))
-        opened = f.where("kind = 'open'").select("id", "line_no", F.col("pos").alias("next_no"), F.explode(F.array("tri", "tri_b")).alias("tri"))
+        # once headers are known, the lines around them become neighbours
+        tops = headers.select("id", "line_no")
+        topped = self.rows.select("id", "text").join(tops.groupBy("id").agg(F.collect_set("line_no").alias("tops")), "id")
+        pairs = f.unionByName(cut_lineage(topped.mapInPandas(_over_headers, _DECISION)))
+        opened = pairs.where("kind = 'open'").select("id", "line_no", F.col("pos").alias("next_no"), F.explode(F.array("tri", "tri_b")).alias("tri"))
         known = opened.join(self.tri.where("n > 1").select("tri"), "tri").groupBy("id", "line_no", "next_no").agg(F.count("*").alias("both")).where("both >= 2").select("id", "line_no", "next_no")
-        breaks = f.where("kind = 'sure'").select("id", "line_no", F.col("pos").alias("next_no")).unionByName(known).distinct()
+        breaks = pairs.where("kind = 'sure'").select("id", "line_no", F.col("pos").alias("next_no")).unionByName(known).distinct()
         # a header at either end is no broken line
-        tops = headers.select("id", "line_no")
         breaks = breaks.join(tops, ["id", "line_no"], "left_anti").join(tops.withColumnRenamed("line_no", "next_no"), ["id", "next_no"], "left_anti")
         breaks = breaks.select("id", F.lit("break").alias("kind"), "line_no", F.col("next_no").alias("pos"), zero.alias("size"), none.alias("repl"))
         middle = F.shiftright("tri", _BIT).bitwiseAND(F.lit((1 << _BIT) - 1))

@@ -56,6 +56,22 @@ def test_headers_of_any_length(spark):
     assert len(rows) == 12 and all(r["noise_kinds"] == ["header"] and "\n".join(r["text"].split("\n")[1:]) in BODY for r in rows)
 
 
+def test_breaks_over_headers(spark, corpus):
+    other = "溯溯远航农机险条款《甲》"
+    rows = [(f"t{k}", "cut", f"{BODY[k % 4]}\n{HEAD}\n{other}\n{BODY[(k + 1) % 4]}") for k in range(8)]
+    rows += [
+        ("one", "cut", f"被保险人应当在三十日内向保险公\n{HEAD}\n司提交单据。"),
+        ("two", "cut", f"被保险人应当在三十日内向保险公\n— 3 —\n{HEAD}\n\n{other}\n4\n司提交单据。"),
+        ("hyphen", "cut", f"The clerk reads the fi-\n{HEAD}\nle before the house is sold."),
+        ("whole", "cut", f"{BODY[0]}\n{HEAD}\n{BODY[1]}"),
+    ]
+    df = corpus.select("chunk_id", "text", "metadata").unionByName(spark.createDataFrame(rows, "chunk_id string, source string, text string").selectExpr("chunk_id", "text", "struct(source as source_file) as metadata"))
+    got = {r["chunk_id"]: r for r in ScanRepair(df, df).repaired().collect()}
+    assert got["one"]["text"] == got["two"]["text"] == BODY[0] and got["hyphen"]["text"] == "The clerk reads the file before the house is sold."
+    assert got["one"]["noise_kinds"] == got["hyphen"]["noise_kinds"] == ["break", "header"] and got["two"]["noise_kinds"] == ["break", "header", "page"]
+    assert got["whole"]["noise_kinds"] == ["header"] and got["whole"]["text"] == f"{BODY[0]}\n{BODY[1]}"
+
+
 def test_empty_table(spark, corpus):
     assert ScanRepair(corpus.limit(0), corpus.limit(0)).kinds().count() == 0
 
