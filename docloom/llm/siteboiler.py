@@ -1,7 +1,7 @@
 """Lines repeated across the documents of one source.
 
-Lines are compared without white space and with numbers masked. For finding near-duplicates dates and names
-are masked too; the lines of a source are then clustered by locality-sensitive hashing of five-token
+Lines are compared without white space and with numbers masked. For finding near-duplicates the spaces stay, and
+dates and names are masked too; the lines of a source are then clustered by locality-sensitive hashing of five-token
 shingles, links being verified by the exact similarity, and clusters found in many documents are removed.
 """
 
@@ -26,13 +26,19 @@ _BLOCK_TOKENS = 400_000
 
 _TOKEN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{N}+|[^\s]")
 #: Dates and what stands in quotation marks or title marks; runs of capitalised words.
-_DATE = re.compile(r"0[-/.年]0(?:[-/.月]0日?)?")
+_DATE = re.compile(r"0 ?[-/.年] ?0(?: ?[-/.月] ?0(?: ?日)?)?")
 _NAME = re.compile(r"[“\"「『《][^”\"」』》]{1,40}[”\"」』》]|\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+")
 
 
-def mask(key: str) -> str:
-    """A line's key with dates and names masked."""
-    return _NAME.sub("〔N〕", _DATE.sub("〔D〕", key))
+_MASKS = re.compile("〔[ND]〕")
+_LETTER = re.compile(r"\p{L}")
+
+
+def mask(shown: str) -> str:
+    """A line, its numbers masked, with dates and names masked; names stay where nothing else is in words, as in titles."""
+    dated = _DATE.sub("〔D〕", shown)
+    masked = _NAME.sub("〔N〕", dated)
+    return masked if _LETTER.search(_MASKS.sub("", masked)) else dated
 
 
 @cache
@@ -120,13 +126,16 @@ class SiteLines:
         self.min_docs, self.id_col = min_docs, id_col.split(".")[-1]
         rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("id is not null and source is not null and text is not null")
         lines = rows.select("id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        key = F.regexp_replace(F.regexp_replace("line", r"[\p{IsWhite_Space}\x1c-\x1f]+", ""), "[0-9]+", "0")
-        keyed = lines.select("id", "source", "line_no", key.alias("key")).where(F.col("key").rlike(r"[\p{L}\p{N}]"))
-        #: two hashes together stand for source and key wherever the key itself isn't needed
-        self.lines = keyed.withColumns({"node": F.xxhash64("source", "key"), "twin": F.xxhash64("key", "source", F.lit(1))})
-        nodes = self.lines.groupBy("source", "key", "node", "twin").agg(F.count_distinct("id").alias("docs"))
+        space = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+        key = F.regexp_replace(F.regexp_replace("line", space, ""), "[0-9]+", "0")
+        keyed = lines.select("id", "source", "line_no", "line", key.alias("key")).where(F.col("key").rlike(r"[\p{L}\p{N}]"))
+        #: two hashes together stand for source and key
+        self.lines = keyed.select("id", "line_no", "line", F.xxhash64("source").alias("site"), F.xxhash64("source", "key").alias("node"), F.xxhash64("key", "source", F.lit(1)).alias("twin"))
+        # names and words need the spaces, which the key is without: one of its lines stands for all
+        shown = F.regexp_replace(F.trim(F.regexp_replace("line", space, " ")), "[0-9]+", "0")
+        nodes = self.lines.withColumn("line", shown).groupBy("site", "node", "twin").agg(F.count_distinct("id").alias("docs"), F.min("line").alias("shown"))
         self.nodes = nodes
-        plain = nodes.select("node", "key", F.xxhash64("source").alias("site"))
+        plain = nodes.select("node", F.col("shown").alias("key"), "site")
         buckets = plain.mapInPandas(_bands, "node long, bucket long")
         leads = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("bucket", "lead")
         links = cut_lineage(buckets.join(leads, "bucket").where("node <> lead").select("node", "lead").distinct())

@@ -66,6 +66,18 @@ def test_lines_of_a_source(spark):
     assert SiteLines(df.limit(0)).repeated().count() == 0
 
 
+def test_bylines_of_spaced_scripts_count_together(spark):
+    people = ["Anna Keller", "Jonas Weber", "Marie Dubois", "Tom Baker", "Eva Lindt", "Karl Brandt"]
+    firms = ["Bright Insurance", "North Mutual", "Blue Harbour Group", "Alpine Life", "Gold Cover", "Stone Re"]
+    forms = {"en": "Reviewed by {} for {} on 12.05.2024 and kept in the archive.", "de": "geprüft durch {} im Auftrag von {} am 12.05.2024 und im Archiv abgelegt."}
+    rows = [(f"{lang}{k}", lang, form.format(people[k], firms[k]) + f"\nown text {chr(97 + k) * 5} here") for lang, form in forms.items() for k in range(6)]
+    rows += [(f"t{k}", "titles", firms[k]) for k in range(6)]
+    df = spark.createDataFrame(rows, "chunk_id string, source string, text string").selectExpr("chunk_id", "text", "struct(source as source_file) as metadata")
+    found = SiteLines(df).repeated().collect()
+    assert {(r["chunk_id"], r["line_no"]) for r in found} == {(f"{lang}{k}", 0) for lang in forms for k in range(6)}
+    assert {(r["cluster_docs"], r["line_docs"]) for r in found} == {(6, 1)}
+
+
 def test_bands_find_what_is_similar():
     rng = random.Random(5)
     hits = total = 0
