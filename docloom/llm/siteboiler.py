@@ -113,6 +113,31 @@ def _verify(least: float):
     return run
 
 
+def _links(members: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
+    """(node, lead) of the lines of a bucket that are similar to one of its leads.
+
+    The first leads are the least node of each bucket, then the lines left that no lead was similar to, twice as
+    many of a bucket each round, until none is left; each is compared with every line of the bucket.
+    """
+    found: DataFrame | None = None
+    left, many = members, 1
+    while True:
+        if many == 1:
+            leads = left.groupBy("bucket").agg(F.min("node").alias("lead"))
+        else:
+            leads = left.withColumn("at", F.expr("row_number() over (partition by bucket order by node)")).where(F.col("at") <= many).select("bucket", F.col("node").alias("lead"))
+        leads = cut_lineage(leads)
+        pairs = members.join(leads, "bucket").where("node <> lead")
+        named = pairs.select("node", "lead").distinct().join(lines, "node").join(lines.select(F.col("node").alias("lead"), F.col("key").alias("key_b")), "lead")
+        links = cut_lineage(named.mapInPandas(_verify(similar), "node long, lead long"))
+        found = links if found is None else found.unionByName(links)
+        done = pairs.join(links, ["node", "lead"]).select("bucket", "node").unionByName(leads.select("bucket", F.col("lead").alias("node")))
+        left = cut_lineage(left.join(done, ["bucket", "node"], "left_anti"))
+        if left.limit(1).count() == 0:
+            return found
+        many *= 2
+
+
 class SiteLines:
     """Lines of the documents of each source, and those that come back in at least ``min_docs`` of them.
 
@@ -137,10 +162,10 @@ class SiteLines:
         self.nodes = nodes
         plain = nodes.select("node", F.col("shown").alias("key"), "site")
         buckets = plain.mapInPandas(_bands, "node long, bucket long")
-        leads = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("bucket", "lead")
-        links = cut_lineage(buckets.join(leads, "bucket").where("node <> lead").select("node", "lead").distinct())
-        named = links.join(plain.select("node", "key"), "node").join(plain.select(F.col("node").alias("lead"), F.col("key").alias("key_b")), "lead")
-        self.links = named.mapInPandas(_verify(similar), "node long, lead long")
+        shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("other")).where("first <> other").select("bucket")
+        members = cut_lineage(buckets.join(shared, "bucket").distinct())
+        lines = cut_lineage(plain.join(members.select("node").distinct(), "node", "left_semi").select("node", "key"))
+        self.links = _links(members, lines, similar)
         self.clusters = components(self.links, "node", "lead")
 
     def repeated(self) -> DataFrame:

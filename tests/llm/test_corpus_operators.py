@@ -12,7 +12,7 @@ from docloom.llm.graph import components
 from docloom.llm.leakage import find_leaks, normalised
 from docloom.llm.mixing import Mixture, entropy, tempered, weigh
 from docloom.llm.sharedspans import SharedSpans
-from docloom.llm.siteboiler import SiteLines, band_hashes, similarity
+from docloom.llm.siteboiler import SiteLines, _links, band_hashes, similarity
 
 
 @settings(max_examples=100, deadline=None)
@@ -78,6 +78,18 @@ def test_bylines_of_spaced_scripts_count_together(spark):
     assert {(r["cluster_docs"], r["line_docs"]) for r in found} == {(6, 1)}
 
 
+def test_lines_unlike_the_first_of_a_bucket_are_linked(spark):
+    rng = random.Random(11)
+    groups = [["".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往") for _ in range(120))] * 6 for _ in range(40)]
+    groups = [[g[:k * 20] + "秋" + g[k * 20 + 1 :] for k, g in enumerate(group)] for group in groups]
+    lines = {i: line for i, line in enumerate(line for group in groups for line in group)}
+    # one bucket for all: whatever the lead is, most of the bucket is unlike it
+    members = spark.createDataFrame([(i, 1) for i in lines], "node long, bucket long")
+    got = components(_links(members, spark.createDataFrame(list(lines.items()), "node long, key string"), 0.8), "node", "lead").collect()
+    assert all(similarity(a, b) >= 0.8 for group in groups for a, b in zip(group, group[1:]))
+    assert {(r["node"], r["label"]) for r in got} == {(i, i // 6 * 6) for i in lines}
+
+
 def test_bands_find_what_is_similar():
     rng = random.Random(5)
     hits = total = 0
