@@ -1,8 +1,9 @@
 """Lines repeated across the documents of one source.
 
 Lines are compared without white space and with numbers masked. For finding near-duplicates the spaces stay, and
-dates and names are masked too; the lines of a source are then clustered by locality-sensitive hashing of five-token
-shingles, links being verified by the exact similarity, and clusters found in many documents are removed.
+dates and names are masked too. Lines of a source that are equal once masked are one form; forms are clustered by
+locality-sensitive hashing of five-token shingles, links being verified by the exact similarity, and clusters
+found in many documents are removed.
 """
 
 from __future__ import annotations
@@ -22,13 +23,20 @@ from docloom.session import cut_lineage
 
 SHINGLE = 5
 BANDS, ROWS = 8, 4
-_BLOCK_TOKENS = 400_000
+#: Leads of a bucket in the first round, and how many times more there are in each further one.
+LEADS, MORE_LEADS = 16, 8
 
 _TOKEN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{N}+|[^\s]")
-#: Dates and what stands in quotation marks or title marks; runs of capitalised words.
-_DATE = re.compile(r"0 ?[-/.年] ?0(?: ?[-/.月] ?0(?: ?日)?)?")
-_NAME = re.compile(r"[“\"「『《][^”\"」』》]{1,40}[”\"」』》]|\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+")
-
+# Names of months, which make a date beside a number, and words before a writer's name.
+_MONTHS = (
+    "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember"
+    "|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre"
+)
+_BY = "by|By|von|Von|par|Par|durch|Autor:|Author:|Auteur :"
+#: Dates, their numbers masked: of numbers, without a year, and with the names of months.
+_DATE = re.compile(rf"0 ?[-/.年] ?0(?: ?[-/.月] ?0(?: ?日)?)?|0 ?月 ?0 ?日|0(?:st|nd|rd|th|er|\.)? (?:{_MONTHS})\b\.?(?:,? 0)?|\b(?:{_MONTHS})\b\.? 0(?:st|nd|rd|th)?\b(?:, 0)?")
+#: What stands in quotation marks or title marks; runs of capitalised words; a name after a word like "by"; a short value behind a label in Chinese.
+_NAME = re.compile(rf"[“\"「『《][^”\"」』》]{{1,40}}[”\"」』》]|\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)+|(?<=\b(?:{_BY}) )\p{{Lu}}[\p{{L}}.]+|(?<=\p{{Han}}{{2,6}} ?[:：] ?)\p{{Han}}{{2,4}}(?=$|[\s|｜/，、])")
 
 _MASKS = re.compile("〔[ND]〕")
 _LETTER = re.compile(r"\p{L}")
@@ -47,13 +55,13 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-token shingles of all lines, and where each line's begin; a shorter line is one shingle."""
+def shingle_hashes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-token shingles of all masked lines, and where each line's begin; a shorter line is one shingle."""
     known: dict[str, int] = {}
     tokens: list[int] = []
     sizes = []
-    for line in lines:
-        found = _TOKEN.findall(mask(line)) or [""]
+    for line in forms:
+        found = _TOKEN.findall(line) or [""]
         found += [""] * (SHINGLE - len(found))
         sizes.append(len(found))
         for t in found:
@@ -73,13 +81,13 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[inside], np.cumsum(counts) - counts
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """For each line one hash for each band of its MinHash signature."""
-    hashes, starts = shingle_hashes(lines)
+def band_hashes(forms: list[str]) -> np.ndarray:
+    """For each masked line one hash for each band of its MinHash signature."""
+    hashes, starts = shingle_hashes(forms)
     mult, add = _constants(BANDS * ROWS)
-    out = np.zeros((len(lines), BANDS), np.uint64)
+    out = np.zeros((len(forms), BANDS), np.uint64)
     for band in range(BANDS):
-        h = np.full(len(lines), np.uint64(band + 1))
+        h = np.full(len(forms), np.uint64(band + 1))
         for row in range(ROWS):
             k = band * ROWS + row
             x = hashes * mult[k] + add[k]
@@ -96,46 +104,62 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each line masked, with the hash of its masked form and its buckets."""
     for pdf in batches:
         for first in range(0, len(pdf), 4_000):
             part = pdf.iloc[first : first + 4_000]
-            hashes = band_hashes(part["key"].tolist()) ^ part["site"].to_numpy().view(np.uint64)[:, None]
-            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), BANDS), "bucket": hashes.reshape(-1).view(np.int64)})
+            sites = part["site"].to_numpy().view(np.uint64)
+            masked = [mask(s) for s in part["shown"]]
+            forms = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in masked], np.uint64) ^ sites
+            bands = (band_hashes(masked) ^ sites[:, None]).view(np.int64)
+            yield pd.DataFrame({"node": part["node"], "twin": part["twin"], "docs": part["docs"], "form": forms.view(np.int64), "masked": masked, "bands": list(bands)})
 
 
 def _verify(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [similarity(x, y) >= least for x, y in zip(pdf["key"], pdf["key_b"])]
-            yield pdf.loc[keep, ["node", "lead"]]
+            sets = {s: set(shingle_hashes([s])[0].tolist()) for s in {*pdf["masked"], *pdf["masked_b"]}}
+            keep = [len(x & y) >= least * len(x | y) for x, y in zip(map(sets.get, pdf["masked"]), map(sets.get, pdf["masked_b"]))]
+            yield pdf.loc[keep, ["form", "lead"]]
 
     return run
 
 
-def _links(members: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
-    """(node, lead) of the lines of a bucket that are similar to one of its leads.
+def link(members: DataFrame, forms: DataFrame, similar: float) -> DataFrame:
+    """(form, label) of the forms linked to others, the label being the least form that one is joined to by links.
 
-    The first leads are the least node of each bucket, then the lines left that no lead was similar to, twice as
-    many of a bucket each round, until none is left; each is compared with every line of the bucket.
+    ``members`` has (bucket, form), ``forms`` (form, masked). Each round takes leads out of each bucket that is not of one
+    component yet, from outside its largest component, and compares each with all forms of other components in
+    the bucket. A bucket is done when all forms outside the largest component have led: by then any two forms in it
+    were compared, unless links had joined them before. So no link between components is lost, and
+    a bucket of copies of one text, however large, costs one round.
     """
-    found: DataFrame | None = None
-    left, many = members, 1
+    links = labels = led = None
+    many = LEADS
     while True:
-        if many == 1:
-            leads = left.groupBy("bucket").agg(F.min("node").alias("lead"))
+        if labels is None:
+            here = members.withColumn("label", F.col("form"))
         else:
-            leads = left.withColumn("at", F.expr("row_number() over (partition by bucket order by node)")).where(F.col("at") <= many).select("bucket", F.col("node").alias("lead"))
-        leads = cut_lineage(leads)
-        pairs = members.join(leads, "bucket").where("node <> lead")
-        named = pairs.select("node", "lead").distinct().join(lines, "node").join(lines.select(F.col("node").alias("lead"), F.col("key").alias("key_b")), "lead")
-        links = cut_lineage(named.mapInPandas(_verify(similar), "node long, lead long"))
-        found = links if found is None else found.unionByName(links)
-        done = pairs.join(links, ["node", "lead"]).select("bucket", "node").unionByName(leads.select("bucket", F.col("lead").alias("node")))
-        left = cut_lineage(left.join(done, ["bucket", "node"], "left_anti"))
-        if left.limit(1).count() == 0:
-            return found
-        many *= 2
+            here = members.join(labels, "form", "left").select("bucket", "form", F.coalesce("label", "form").alias("label"))
+        parts = here.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("parts"))
+        # buckets of one component need no more
+        opened = cut_lineage(here.join(parts.where("parts > 1").drop("parts"), "bucket"))
+        free = opened.where("label <> main")
+        if led is not None:
+            free = free.join(led, ["bucket", "form"], "left_anti")
+        leads = free.groupBy("bucket", F.pmod(F.xxhash64("form", F.lit(many)), F.lit(many)).alias("slot")).agg(F.min(F.struct("form", "label")).alias("lead"))
+        leads = cut_lineage(leads.select("bucket", F.col("lead.form").alias("lead"), F.col("lead.label").alias("lead_label")))
+        if leads.isEmpty():
+            return labels if labels is not None else members.select("form", F.col("form").alias("label")).limit(0)
+        pairs = opened.join(leads, "bucket").where("label <> lead_label").select("form", "lead").distinct()
+        named = pairs.join(forms, "form").join(forms.select(F.col("form").alias("lead"), F.col("masked").alias("masked_b")), "lead")
+        new = cut_lineage(named.mapInPandas(_verify(similar), "form long, lead long"))
+        links = new if links is None else links.unionByName(new)
+        labels = components(links, "form", "lead").withColumnRenamed("node", "form")
+        done = leads.select("bucket", F.col("lead").alias("form"))
+        led = done if led is None else led.unionByName(done)
+        many *= MORE_LEADS
 
 
 class SiteLines:
@@ -159,14 +183,15 @@ class SiteLines:
         # names and words need the spaces, which the key is without: one of its lines stands for all
         shown = F.regexp_replace(F.trim(F.regexp_replace("line", space, " ")), "[0-9]+", "0")
         nodes = self.lines.withColumn("line", shown).groupBy("site", "node", "twin").agg(F.count_distinct("id").alias("docs"), F.min("line").alias("shown"))
-        self.nodes = nodes
-        plain = nodes.select("node", F.col("shown").alias("key"), "site")
-        buckets = plain.mapInPandas(_bands, "node long, bucket long")
-        shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("other")).where("first <> other").select("bucket")
+        # masked and signed once; read by every step below
+        signed = cut_lineage(nodes.mapInPandas(_sign, "node long, twin long, docs long, form long, masked string, bands array<long>"))
+        buckets = signed.select(F.explode("bands").alias("bucket"), "form")
+        shared = buckets.groupBy("bucket").agg(F.min("form").alias("first"), F.max("form").alias("other")).where("first <> other").select("bucket")
         members = cut_lineage(buckets.join(shared, "bucket").distinct())
-        lines = cut_lineage(plain.join(members.select("node").distinct(), "node", "left_semi").select("node", "key"))
-        self.links = _links(members, lines, similar)
-        self.clusters = components(self.links, "node", "lead")
+        forms = cut_lineage(signed.select("form", "masked").join(members.select("form").distinct(), "form", "left_semi").dropDuplicates(["form"]))
+        labels = link(members, forms, similar)
+        #: every line in the cluster of its form; a form linked to no other is a cluster of its own
+        self.nodes = signed.select("node", "twin", "form", "docs").join(labels, "form", "left").select("node", "twin", F.coalesce("label", "form").alias("cluster"), F.col("docs").alias("line_docs"))
 
     def repeated(self) -> DataFrame:
         """(id, line_no, cluster, cluster_docs, line_docs) of the lines of clusters found in ``min_docs`` documents or more.
@@ -174,14 +199,12 @@ class SiteLines:
         ``cluster_docs`` counts the documents of the cluster, ``line_docs`` those that hold this very line, in
         the sense of equal keys. A line similar to no other is a cluster of its own.
         """
-        joined = self.lines.join(self.clusters.withColumnRenamed("label", "cluster"), "node").select("id", "line_no", "node", "twin", "cluster")
-        sizes = joined.groupBy("cluster").agg(F.count_distinct("id").alias("cluster_docs")).where(F.col("cluster_docs") >= self.min_docs)
-        in_clusters = self.clusters.select("node", F.col("label").alias("cluster")).join(sizes, "cluster").select("node", "cluster", "cluster_docs")
-        # a line of at least min_docs documents counts by itself; others count through their cluster
-        own = self.nodes.select("node", "twin", F.col("docs").alias("line_docs"))
-        chosen = own.join(in_clusters, "node", "left").where((F.col("line_docs") >= self.min_docs) | F.col("cluster_docs").isNotNull())
-        chosen = chosen.select("node", "twin", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("cluster_docs", "line_docs").alias("cluster_docs"), "line_docs")
-        return self.lines.select("id", "line_no", "node", "twin").join(chosen, ["node", "twin"]).select(F.col("id").alias(self.id_col), "line_no", "cluster", "cluster_docs", "line_docs").distinct()
+        # no cluster is in more documents than its lines together
+        enough = self.nodes.groupBy("cluster").agg(F.sum("line_docs").alias("at_most")).where(F.col("at_most") >= self.min_docs).select("cluster")
+        chosen = self.nodes.join(enough, "cluster")
+        held = cut_lineage(self.lines.select("id", "line_no", "node", "twin").join(chosen, ["node", "twin"]).select("id", "line_no", "cluster", "line_docs"))
+        sizes = held.groupBy("cluster").agg(F.count_distinct("id").alias("cluster_docs")).where(F.col("cluster_docs") >= self.min_docs)
+        return held.join(sizes, "cluster").select(F.col("id").alias(self.id_col), "line_no", "cluster", "cluster_docs", "line_docs").distinct()
 
     def cleaned(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """(id, text, n_removed) of every row of ``df``, its text without the repeated lines; a null text stays null."""
