@@ -119,9 +119,12 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verify(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = {s: set(shingle_hashes([s])[0].tolist()) for s in {*pdf["masked"], *pdf["masked_b"]}}
-            keep = [len(x & y) >= least * len(x | y) for x, y in zip(map(sets.get, pdf["masked"]), map(sets.get, pdf["masked_b"]))]
-            yield pdf.loc[keep, ["form", "lead"]]
+            known = list({*pdf["masked"], *pdf["masked_b"]})
+            if known:
+                hashes, starts = shingle_hashes(known)
+                sets = {s: set(h.tolist()) for s, h in zip(known, np.split(hashes, starts[1:]))}
+                keep = [least * max(len(x), len(y)) <= min(len(x), len(y)) and len(x & y) >= least * len(x | y) for x, y in zip(map(sets.get, pdf["masked"]), map(sets.get, pdf["masked_b"]))]
+                yield pdf.loc[keep, ["form", "lead"]]
 
     return run
 
@@ -135,28 +138,29 @@ def link(members: DataFrame, forms: DataFrame, similar: float) -> DataFrame:
     were compared, unless links had joined them before. So no link between components is lost, and
     a bucket of copies of one text, however large, costs one round.
     """
-    links = labels = led = None
-    many = LEADS
+    found, links, led, many = True, None, None, LEADS
+    labels = members.select("form", F.col("form").alias("label")).limit(0)
     while True:
-        if labels is None:
-            here = members.withColumn("label", F.col("form"))
-        else:
+        if found:
             here = members.join(labels, "form", "left").select("bucket", "form", F.coalesce("label", "form").alias("label"))
-        parts = here.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("parts"))
-        # buckets of one component need no more
-        opened = cut_lineage(here.join(parts.where("parts > 1").drop("parts"), "bucket"))
+            parts = here.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("parts"))
+            # buckets of one component need no more
+            opened = cut_lineage(here.join(parts.where("parts > 1").drop("parts"), "bucket"))
         free = opened.where("label <> main")
         if led is not None:
             free = free.join(led, ["bucket", "form"], "left_anti")
-        leads = free.groupBy("bucket", F.pmod(F.xxhash64("form", F.lit(many)), F.lit(many)).alias("slot")).agg(F.min(F.struct("form", "label")).alias("lead"))
-        leads = cut_lineage(leads.select("bucket", F.col("lead.form").alias("lead"), F.col("lead.label").alias("lead_label")))
+        # the first of each bucket are taken before the exchange too, so a large bucket doesn't come into one task
+        leads = free.withColumn("at", F.expr("row_number() over (partition by bucket order by form)")).where(F.col("at") <= many)
+        leads = cut_lineage(leads.select("bucket", F.col("form").alias("lead"), F.col("label").alias("lead_label")))
         if leads.isEmpty():
-            return labels if labels is not None else members.select("form", F.col("form").alias("label")).limit(0)
+            return labels
         pairs = opened.join(leads, "bucket").where("label <> lead_label").select("form", "lead").distinct()
         named = pairs.join(forms, "form").join(forms.select(F.col("form").alias("lead"), F.col("masked").alias("masked_b")), "lead")
         new = cut_lineage(named.mapInPandas(_verify(similar), "form long, lead long"))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links, "form", "lead").withColumnRenamed("node", "form")
+        found = not new.isEmpty()
+        if found:
+            links = new if links is None else links.unionByName(new)
+            labels = components(links, "form", "lead").withColumnRenamed("node", "form")
         done = leads.select("bucket", F.col("lead").alias("form"))
         led = done if led is None else led.unionByName(done)
         many *= MORE_LEADS
