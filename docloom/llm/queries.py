@@ -17,6 +17,8 @@ from docloom.llm.sharedspans import SharedSpans
 from docloom.llm.siteboiler import SiteLines
 from docloom.session import table
 
+#: A public tokenizer's file, on the machines of the tests.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 INTL = "metadata.source_file like 'data/cleaned/intl/%'"
 SCANNED = "(metadata.source_file like 'data/cleaned/scan/%' or metadata.source_file like 'data/cleaned/policy/%')"
 
@@ -36,6 +38,11 @@ def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SiteLines(chunks).cleaned(chunks).join(marked, "chunk_id").dropDuplicates(["chunk_id"])
 
 
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are removed for their near-duplicates only: too rare themselves, of a cluster in five chunks or more."""
+    return SiteLines(_chunks(spark, sf_dir)).repeated().where("line_docs < 5").select("chunk_id", "line_no", "line_docs", "cluster_docs")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     return split_sentences(chunks.where(INTL), learn(chunks)).select("chunk_id", "end_pos").distinct()
@@ -82,12 +89,21 @@ def p8_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str, total: str | None = None) -> Mixture:
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZER, total)
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).report()
+    return _mixture(spark, sf_dir).report()
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).used()
+    return _mixture(spark, sf_dir).used()
+
+
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the sources hold, as near to the targets as the limits of repetition let them come: the exponent is below 1."""
+    return _mixture(spark, sf_dir, "held").report()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +114,24 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).shares()
 
 
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(table(spark, sf_dir, "documents")).spans().withColumnRenamed("id", "doc_id")
+
+
+def p10_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(table(spark, sf_dir, "documents")).groups().withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_sentences, p3_found, p3_repaired, p5_found, p5_shares, p6_found, p6_clean, p8_found, p8_containment, p9_report, p9_mixture, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_cleaned, p1_clusters, p2_found, p2_sentences, p3_found, p3_repaired, p5_found, p5_shares, p6_found, p6_clean, p8_found, p8_containment, p9_report, p9_mixture, p9_tempered, p10_found, p10_shares, p10_spans, p10_groups)
 }
 
+#: Windows of 200 characters that stand in several documents.
+_WINDOWS = """WITH one AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+      windows AS (SELECT doc_id, pos, md5(substring(text, pos + 1, 200)) AS passage FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS pos FROM one)),
+      several AS (SELECT passage FROM windows GROUP BY passage HAVING min(doc_id) <> max(doc_id)),
+      places AS (SELECT doc_id, pos, passage FROM windows JOIN several USING (passage))"""
+
 ORACLE: dict[str, str] = {
     "p1_found": r"""
       WITH lines AS (
@@ -113,4 +143,13 @@ ORACLE: dict[str, str] = {
       repeated AS (
         SELECT source, key FROM keyed WHERE regexp_matches(key, '[\p{L}\p{N}]') GROUP BY ALL HAVING count(DISTINCT chunk_id) >= 5)
       SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM keyed JOIN repeated USING (source, key)""",
+    "p10_found": _WINDOWS + """
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM places a JOIN places b USING (passage) WHERE a.doc_id < b.doc_id""",
+    "p10_spans": _WINDOWS + """,
+      islands AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT DISTINCT doc_id, pos FROM places))
+      SELECT doc_id, min(pos)::INT AS start_pos, (max(pos) + 200)::INT AS end_pos FROM islands GROUP BY doc_id, island""",
+    "p10_shares": _WINDOWS + """,
+      spans AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM (SELECT DISTINCT doc_id, pos FROM places)),
+      covered AS (SELECT doc_id, sum(least(200, coalesce(following - pos, 200)))::BIGINT AS shared_chars FROM spans GROUP BY doc_id)
+      SELECT doc_id, length(text)::INT AS n_chars, shared_chars, shared_chars / length(text)::DOUBLE AS shared_share FROM covered JOIN one USING (doc_id)""",
 }

@@ -1,5 +1,6 @@
 """Repeated lines, leaks, shared spans and mixtures, against brute force."""
 
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from docloom.llm.codepoints import code_points, rolling_hashes, sliding_min
 from docloom.llm.graph import components
 from docloom.llm.leakage import find_leaks, normalised
-from docloom.llm.mixing import Mixture, entropy, tempered, weigh
+from docloom.llm.mixing import Mixture, find_exponent
 from docloom.llm.sharedspans import SharedSpans
 from docloom.llm.siteboiler import SiteLines, band_hashes, link, mask, similarity
 
@@ -206,34 +207,62 @@ def test_shared_spans(spark):
     assert SharedSpans(df.limit(0), span=20).pairs().count() == 0
 
 
-def test_weights():
-    w, total, t = weigh([100, 300], [0.5, 0.5], [1, 1])
-    assert (w, total, t) == ([0.5, 0.5], 200, 1.0)
-    w, total, t = weigh([100, 300], [0.5, 0.5], [1, 1], total=360)
-    assert 0 < t < 1 and abs(w[0] * 360 - 100) < 0.01 and abs(sum(w) - 1) < 1e-9
-    assert weigh([0, 0], [0.5, 0.5], [1, 1]) == ([0.0, 0.0], 0, 0.0)
-    assert weigh([5, 5], [0.0, 0.0], [1, 1])[1] == 0
-    w, _, t = weigh([100, 100], [0.99, 0.01], [99, 99], total=100, min_entropy=0.5)
-    assert entropy(w) >= 0.5 - 1e-9 and t < 1
-    assert tempered([0.25, 0.75], [0.5, 0.5], 0.0) == [0.25, 0.75]
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
-@pytest.mark.parametrize("total", [None, 3000])
+def weights_of(tokens, target, exponent):
+    q = [n / sum(tokens) for n in tokens]
+    raw = [a * (t / a) ** exponent if a and t else 0.0 for a, t in zip(q, target)]
+    return [x / sum(raw) for x in raw]
+
+
+def entropy(weights):
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def test_exponents(spark):
+    def find(tokens, target, repeats, total=None, min_entropy=None):
+        rows = [(n, float(max(sum(tokens), 1)), t, float(n * r)) for n, t, r in zip(tokens, target, repeats)]
+        return find_exponent(spark.createDataFrame(rows, "tokens long, whole double, share double, cap double"), total, min_entropy)
+
+    assert find([100, 300], [0.5, 0.5], [1, 1]) == (200, 1.0)
+    total, t = find([100, 300], [0.5, 0.5], [1, 1], total=360)
+    w = weights_of([100, 300], [0.5, 0.5], t)
+    assert total == 360 and 0 < t < 1 and abs(w[0] * 360 - 100) < 0.01
+    assert find([0, 0], [0.5, 0.5], [1, 1]) == (0, 0.0) and find([5, 5], [0.0, 0.0], [1, 1]) == (0, 0.0)
+    _, t = find([100, 100], [0.99, 0.01], [99, 99], total=100, min_entropy=0.5)
+    assert 0 < t < 1 and abs(entropy(weights_of([100, 100], [0.99, 0.01], t)) - 0.5) < 1e-6
+    assert find([100, 300], [0.5, 0.5], [1, 1], total=4000)[1] == 0.0
+
+
+@pytest.mark.parametrize("total", [None, 1100, 3000])
 def test_mixture(spark, total):
     rng = random.Random(4)
-    docs = [(k, "big" if k % 3 else "small", "word " * rng.randrange(1, 9)) for k in range(300)] + [(900, "big", None), (901, "other", "x"), (902, None, "x"), (903, "small", "")]
+    docs = [(k, "big" if k % 3 else "small", "word " * rng.randrange(1, 9)) for k in range(300)] + [(900, "big", None), (901, "other", "x"), (902, None, "x"), (903, "small", ""), (904, "small", "word " * 300)]
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3), ("missing", 0.0, 2), ("none", None, None)], "source string, target_share double, max_repeat int")
-    mix = Mixture(spark.createDataFrame(docs, "doc_id long, source string, text string").selectExpr("*", "1 as tokens"), targets, total)
+    mix = Mixture(spark.createDataFrame(docs, "doc_id long, source string, text string").selectExpr("*", "1 as tokens"), targets, TOKENIZER, total)
     used = mix.used().collect()
     report = {r["source"]: r for r in mix.report().collect()}
     assert len({r["doc_id"] for r in used}) == len(used) and all(r["times"] <= (1 if r["source"] == "big" else 3) for r in used)
     assert report["missing"]["taken"] == 0 and report["none"]["taken"] == 0
     if total is None:
-        assert abs(report["big"]["actual_share"] - 0.5) < 0.02 and abs(report["small"]["actual_share"] - 0.5) < 0.02
+        assert mix.exponent == 1.0 and report["big"]["off_target"] < 0.01 and report["small"]["off_target"] < 0.01
+    # no document that isn't used any further would have fitted
+    for name in ("big", "small"):
+        short = report[name]["budget"] - report[name]["taken"]
+        assert 0 <= short <= 10
     assert {r["doc_id"]: r["times"] for r in mix.used().collect()} == {r["doc_id"]: r["times"] for r in used}
     assert sum(r["taken"] for r in report.values()) == sum(r["tokens"] * r["times"] for r in used) <= mix.total
 
 
+def test_mixture_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a", "word")], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeat int")
+    assert Mixture(docs.limit(0), targets, TOKENIZER).report().first()["taken"] == 0
+    assert Mixture(docs, targets.limit(0), TOKENIZER).used().count() == 0
+    assert [(r["doc_id"], r["times"]) for r in Mixture(docs, targets, TOKENIZER).used().collect()] == [(1, 2)]
+
+
 def test_large_ids_beside_null_ones(spark):
     big = 2**60 + 1
     text = "".join(chr(0x4E00 + k) for k in range(60))
