@@ -1,15 +1,17 @@
 """Splitting oversized texts at natural boundaries, by packing a structure tree.
 
-A text is a tree: sections under headings, paragraphs, lines (list items, table rows), sentences,
-clauses, characters. Neighbouring subtrees are merged up to the limit; only a node that is itself over
-the limit is opened. Every piece but the first begins with the ``overlap`` last characters before its
-own part, so neighbours share exactly that many characters.
+A text is a tree: sections nested by the depth of their headings, then paragraphs, lines (list items, table rows),
+sentences, clauses, characters. Sibling subtrees are merged up to the limit, never the parts of different
+parents; only a node that is itself over the limit is opened. Every piece but the first begins with the
+``overlap`` last characters before its own part, so neighbours share exactly that many characters.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.ids import carried, carried_type
 
-#: Boundaries from strong to weak; a child ends where a match ends. Fixed values.
+#: Headings of Markdown, wiki, LaTeX and HTML at the beginning of a line. Fixed values.
+_HEADING = re.compile(r"^(?:(?P<md>#{1,6}) +(?P<t1>.*)|(?P<wiki>={2,6}) *(?P<t2>[^=\n]+?) *=+ *$|\\(?P<latex>(?:sub)*)section\*?\{(?P<t3>[^{}\n]*)\}|<h(?P<html>[1-6])[^<>]*>(?P<t4>[^<\n]*))", re.M)
+#: Boundaries below sections, from strong to weak; a child ends where a match ends. Fixed values.
 _LEVELS = [
-    re.compile(r"\n(?=#{1,6} |=+ .*=+ *\n|\\(?:sub)*section\{|<h[1-6])|(?<=\n)(?=#{1,6} )"),
     re.compile(r"\n[ \t　\r]*\n\s*"),
     re.compile(r"\n"),
     re.compile(r"[。！？!?।؟…]+[”’」』）)\]\"']*[ 　]*|\.[”’\"')\]]*[ 　]+|</(?:p|li|tr|div|table|ul)>|\\\\ "),
@@ -27,72 +30,118 @@ _LEVELS = [
 ]
 
 
-def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    cuts = [m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-    points = [start, *dict.fromkeys(cuts), end]
-    return list(zip(points, points[1:]))
+@dataclass
+class Section:
+    """A stretch of text: a section with its parts, or a run of text of one level below sections."""
+
+    start: int
+    end: int
+    path: tuple[str, ...] = ()
+    level: int = 0
+    depth: int = 0
+    parts: list[Section] = field(default_factory=list)
+
+
+def outline(text: str) -> Section:
+    """The sections of a text, nested by the depth of their headings; text before the first heading is a part of its own.
+
+    A heading belongs to the first paragraph of its section; where a section begins with another heading it is alone.
+    """
+    root = Section(0, len(text))
+    stack = [root]
+    heads = [(m.start(), len(m["md"] or m["wiki"] or "") or (int(m["html"]) if m["html"] else m["latex"].count("sub") + 1), (m["t1"] or m["t2"] or m["t3"] or m["t4"] or "").strip(" #")) for m in _HEADING.finditer(text)]
+    if not heads:
+        return root
+    edges = [h[0] for h in heads] + [len(text)]
+    if heads[0][0]:
+        root.parts.append(Section(0, heads[0][0]))
+    for (start, depth, title), end in zip(heads, edges[1:]):
+        while len(stack) > 1 and stack[-1].depth >= depth:
+            stack.pop().end = start
+        made = Section(start, len(text), (*stack[-1].path, title), 0, depth)
+        made.parts.append(Section(start, end, made.path))
+        stack[-1].parts.append(made)
+        stack.append(made)
+    return root
+
+
+def _children(text: str, node: Section) -> list[Section]:
+    if node.parts:
+        return node.parts
+    cuts = [m.end() for m in _LEVELS[node.level].finditer(text, node.start, node.end) if node.start < m.end() < node.end]
+    points = [node.start, *dict.fromkeys(cuts), node.end]
+    return [Section(s, e, node.path, node.level + 1) for s, e in zip(points, points[1:])]
 
 
 def _solid(text: str, at: int) -> bool:
     """Whether a cut before ``at`` would part a character from its combining marks."""
-    import unicodedata
-
     c = text[at]
     return unicodedata.combining(c) != 0 or unicodedata.category(c) in ("Mn", "Mc", "Me") or c in "‍️"
 
 
-def pack(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Own parts (start, end) of the pieces; piece k > 0 is shown from start - overlap.
+def pack(text: str, limit: int, overlap: int) -> list[tuple[int, int, tuple[str, ...]]]:
+    """Own parts (start, end, headings above the start) of the pieces; piece k > 0 is shown from start - overlap.
 
     The parts are disjoint and cover the text. A part holds at most ``limit`` characters, the overlap
     included. The overlap must be below the limit.
     """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("the limit must be positive and the overlap below it")
-    if len(text) <= limit:
-        return [(0, len(text))] if text else []
-    parts: list[list[int]] = []
+    root = outline(text)
+    out: list[tuple[int, int, tuple[str, ...]]] = []
 
     def room(start: int) -> int:
         return limit - (overlap if start else 0)
 
-    def add(start: int, end: int) -> None:
-        """A subtree that fits: merged with the open part where both fit together."""
-        if parts and end - parts[-1][0] <= room(parts[-1][0]):
-            parts[-1][1] = end
-        else:
-            parts.append([start, end])
-
-    todo = [(0, len(text), 0)]
-    while todo:
-        start, end, level = todo.pop()
-        fits_open = parts and end - parts[-1][0] <= room(parts[-1][0])
-        if fits_open or end - start <= room(start):
-            add(start, end)
-        elif level < len(_LEVELS):
-            todo += [(s, e, level + 1) for s, e in reversed(_children(text, start, end, level))]
+    def characters(node: Section) -> None:
+        start = node.start
+        while start < node.end:
+            size = room(start)
+            stop = min(node.end, start + size)
+            while stop < node.end and stop > start + 1 and _solid(text, stop):
+                stop -= 1
+            if stop < node.end and _solid(text, stop):
+                stop = min(node.end, start + size)
+            out.append((start, stop, node.path))
+            start = stop
+
+    def visit(node: Section) -> None:
+        if node.end - node.start <= room(node.start):
+            if node.end > node.start:
+                out.append((node.start, node.end, node.parts[0].path if node.parts else node.path))
+        elif not node.parts and node.level == len(_LEVELS):
+            characters(node)
         else:
-            while start < end:
-                size = room(start)
-                stop = min(end, start + size)
-                while stop < end and stop > start + 1 and _solid(text, stop):
-                    stop -= 1
-                if stop < end and _solid(text, stop):
-                    stop = min(end, start + size)
-                add(start, stop)
-                start = stop
-    return [(s, e) for s, e in parts]
+            merged: list[Section] = []
+            for child in _children(text, node):
+                if merged and child.end - merged[0].start <= room(merged[0].start):
+                    merged.append(child)
+                    continue
+                close(merged)
+                merged = []
+                if child.end - child.start <= room(child.start):
+                    merged = [child]
+                else:
+                    visit(child)
+            close(merged)
+
+    def close(merged: list[Section]) -> None:
+        if merged:
+            out.append((merged[0].start, merged[-1].end, merged[0].path))
+
+    visit(root)
+    return out
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["_id", "piece_no", "n_pieces", "start_pos", "end_pos", "overlap", "piece", "_path"]
+    columns = ["_id", "piece_no", "n_pieces", "start_pos", "end_pos", "overlap", "piece", "_path", "headings"]
     for pdf in batches:
         out = []
         for ident, text, limit, over, path in zip(pdf["_id"], pdf["_text"], pdf["_limit"], pdf["_over"], pdf["_path"]):
             parts = pack(text, int(limit), int(over))
-            for k, (s, e) in enumerate(parts):
+            for k, (s, e, headings) in enumerate(parts):
                 lead = min(int(over), s)
-                out.append((ident, k, len(parts), s - lead, e, lead, text[s - lead : e], path))
+                out.append((ident, k, len(parts), s - lead, e, lead, text[s - lead : e], path, list(headings)))
                 if len(out) == 5_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -104,7 +153,8 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str = "chunk_id",
     """Pieces of the texts that have more characters than ``limits.max_chars`` for their kind.
 
     Columns: the id, ``chunk_type``, ``piece_no`` from 0, ``n_pieces``, ``start_pos``, ``end_pos`` (characters
-    of the text, the overlap included), ``overlap``, ``piece``, ``section_path``. Texts within the limit, null
+    of the text, the overlap included), ``overlap``, ``piece``, ``section_path``, and ``headings``, the titles of the text's
+    own sections in which the piece begins. Texts within the limit, null
     texts and kinds without a limit give no piece. Without an overlap 0 is meant; rows stored twice give their
     pieces twice. Several limits for one kind: the smallest is taken. Whole texts are packed, of any length.
     Which side is broadcast is left to Spark, which knows the limit table's size.
@@ -115,6 +165,6 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str = "chunk_id",
     typed = df.select(F.col(id_col)).schema[0].dataType.simpleString()
     rows = df.select(carried(F.col(id_col), typed).alias("_id"), F.col(text_col).alias("_text"), F.col(kind_col).alias("chunk_type"), F.col(path_col).alias("_path"))
     over = rows.join(lim, "chunk_type").where(F.length("_text") > F.col("_limit"))
-    schema = f"_id {carried_type(typed)}, piece_no int, n_pieces int, start_pos int, end_pos int, overlap int, piece string, _path array<string>"
+    schema = f"_id {carried_type(typed)}, piece_no int, n_pieces int, start_pos int, end_pos int, overlap int, piece string, _path array<string>, headings array<string>"
     out = over.select("_id", "_text", "_limit", "_over", "_path").mapInPandas(_pieces, schema)
-    return out.select(F.col("_id").cast(typed).alias(id_col.split(".")[-1]), "piece_no", "n_pieces", "start_pos", "end_pos", "overlap", "piece", F.col("_path").alias("section_path"))
+    return out.select(F.col("_id").cast(typed).alias(id_col.split(".")[-1]), "piece_no", "n_pieces", "start_pos", "end_pos", "overlap", "piece", F.col("_path").alias("section_path"), "headings")

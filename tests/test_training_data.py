@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators.oversize import pack, split_oversized
+from docloom.operators.oversize import outline, pack, split_oversized
 from docloom.operators.termcount import count_terms, mark_terms, record_suffixes, stack_counts
 
 
@@ -49,17 +49,49 @@ def test_marks_at_the_limits(spark):
 def test_pieces_cover_and_fit(text, limit, data):
     overlap = data.draw(st.integers(0, limit - 1))
     parts = pack(text, limit, overlap)
-    assert "".join(text[s:e] for s, e in parts) == text
-    assert all(e > s for s, e in parts)
-    assert all(e - max(0, s - overlap) <= limit for s, e in parts)
+    assert "".join(text[s:e] for s, e, _ in parts) == text
+    assert all(e > s for s, e, _ in parts)
+    assert all(e - max(0, s - overlap) <= limit for s, e, _ in parts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["# a", "## b", "### c", "word. " * 3, "字。" * 9, "- x", ""]), max_size=14).map("\n".join), st.integers(5, 60))
+def test_pieces_keep_to_one_parent(text, limit):
+    """A piece is a run of whole siblings of one section, or lies inside one that has no parts."""
+    allowed = set()
+
+    def walk(node):
+        edges = [x.start for x in node.parts] + [node.end]
+        allowed.update((a, b) for i, a in enumerate(edges) for b in edges[i + 1 :])
+        allowed.add((node.start, node.end))
+        for x in node.parts:
+            walk(x)
+            if not x.parts:
+                leaves.append((x.start, x.end))
+
+    root = outline(text)
+    leaves = [] if root.parts else [(0, len(text))]
+    walk(root)
+    for s, e, _ in pack(text, limit, 0):
+        assert (s, e) in allowed or any(a <= s and e <= b for a, b in leaves)
+
+
+def test_sections_nest():
+    text = "intro\n# A\nwords of a\n## A1\nwords of a1\n## A2\nwords of a2\n# B\nwords of b"
+    parts = [(text[s:e], headings) for s, e, headings in pack(text, 40, 0)]
+    assert [p for p, _ in parts] == ["intro\n", "# A\nwords of a\n## A1\nwords of a1\n", "## A2\nwords of a2\n", "# B\nwords of b"]
+    assert [h for _, h in parts] == [(), ("A",), ("A", "A2"), ("B",)]
+    text = "\\section{One}\nx\n\\subsection{Two}\n<h3>Three</h3>\n== Four ==\ny"
+    inner = outline(text).parts[0].parts[1:]
+    assert [(x.start, x.depth, x.path) for x in inner] == [(text.index("\\sub"), 2, ("One", "Two")), (text.index("=="), 2, ("One", "Four"))]
 
 
 def test_natural_boundaries():
     text = "# 一\n" + "甲乙丙丁。" * 10 + "\n\n# 二\n" + "戊己庚辛。" * 10
-    cuts = [text[s:e] for s, e in pack(text, 70, 0)]
+    cuts = [text[s:e] for s, e, _ in pack(text, 70, 0)]
     assert len(cuts) == 2 and cuts[1].startswith("# 二")
     text = "甲乙丙丁。" * 30
-    assert all(text[s:e].endswith("。") for s, e in pack(text, 24, 4))
+    assert all(text[s:e].endswith("。") for s, e, _ in pack(text, 24, 4))
     with pytest.raises(ValueError):
         pack("x", 5, 5)
 
