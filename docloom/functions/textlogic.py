@@ -194,19 +194,21 @@ def semantic_atoms(text: str, profile: Profile = ZH, double: bool = True) -> lis
     return out or [(text, profile.other, [])]
 
 
-def split_long(text: str, longest: int) -> list[str]:
+def split_marked(text: str, longest: int, marked: bool = True) -> list[tuple[str, bool]]:
     """A text in pieces: at numbers of list points, else at punctuation (which is dropped), else by length.
 
-    A numbered piece that is still too long goes on to the next way.
+    A numbered piece that is still too long goes on to the next way. With each piece, whether it keeps the trigger
+    words of the whole: what stands before the first number and the first numbered piece do; of a text cut at
+    punctuation the first piece, unless it is the last as well; of one cut by length the first.
     """
     if len(text) <= longest:
-        return [text]
+        return [(text, marked)]
     starts = [m.start() for m in re.finditer(NUMBERED, text)]
     if starts and starts != [0]:
         edges = sorted({0, *starts, len(text)})
-        parts = [p for a, b in zip(edges, edges[1:]) if (p := text[a:b].strip())]
+        parts = [(p, marked and a <= starts[0]) for a, b in zip(edges, edges[1:]) if (p := text[a:b].strip())]
         if len(parts) > 1:
-            return [q for p in parts for q in split_long(p, longest)]
+            return [q for p, keeps in parts for q in split_marked(p, longest, keeps)]
     bits = re.split(r"[，。；：]\s*", text)
     if len(bits) > 1:
         packed = [""]
@@ -214,8 +216,13 @@ def split_long(text: str, longest: int) -> list[str]:
             if len(packed[-1]) + len(bit) > longest:
                 packed.append("")
             packed[-1] += bit
-        return [s for p in packed if (s := p.strip())] or [text]
-    return [text[k : k + longest] for k in range(0, len(text), longest)]
+        kept = [(s, k < len(packed) - 1) for k, p in enumerate(packed) if (s := p.strip())]
+        return [(s, marked and inner and k == 0) for k, (s, inner) in enumerate(kept)] or [(text, marked)]
+    return [(text[k : k + longest], marked and k == 0) for k in range(0, len(text), longest)]
+
+
+def split_long(text: str, longest: int) -> list[str]:
+    return [p for p, _ in split_marked(text, longest)]
 
 
 @dataclass(frozen=True)
@@ -314,14 +321,14 @@ def chunk_document(text: str, sizes: Sizes = Sizes(), profile: Profile = ZH, rep
         images = sorted(set(_IMAGE.findall(whole)))
         atoms = semantic_atoms(whole, profile) if semantic and not table else [(whole, profile.other, [])]
         for atom, kind, words in atoms:
-            parts = split_long(atom, sizes.largest) if semantic and not table else [atom]
-            for k, part in enumerate(parts):
+            parts = split_marked(atom, sizes.largest) if semantic and not table else [(atom, True)]
+            for part, keeps in parts:
                 infos = []
                 if cleaning:
                     for s in sentences(part, profile):
                         bad = boiler.search(s.strip()) is not None
                         infos.append(known.get(s.strip()) or (s, bad, "boilerplate" if bad else ""))
-                out.append(ChunkRow(part, "table" if table else "list" if listed else "paragraph", group[0].path, group[0].level, images, group[0].line, group[-1].line, table, listed, bool(infos) and all(i[1] for i in infos), kind, words if k == 0 else [], infos))
+                out.append(ChunkRow(part, "table" if table else "list" if listed else "paragraph", group[0].path, group[0].level, images, group[0].line, group[-1].line, table, listed, bool(infos) and all(i[1] for i in infos), kind, words if keeps else [], infos))
     return out
 
 

@@ -42,7 +42,7 @@ def prompt(query: Column, context: Column) -> Column:
 
 def extractive(context: Column) -> Column:
     """A deterministic stand-in for a language model: the first line of the context that is a sentence."""
-    return F.coalesce(F.nullif(F.regexp_extract(context, r"(?m)^(?!文档片段|【)(.+)$", 1), F.lit("")), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_extract(context, r"(?md)^(?!文档片段|【)(.+)$", 1), F.lit("")), F.lit(""))
 
 
 def answers(queries: DataFrame, hits: DataFrame, longest: int = 3000, generate: Callable[[Column, Column], Column] | None = None) -> DataFrame:

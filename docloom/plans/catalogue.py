@@ -249,7 +249,7 @@ def embedding_text(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    return structure.chunks(table(spark, d, "documents"), "doc_id").drop("sentence_infos")
+    return structure.chunks(table(spark, d, "documents"), "doc_id")
 
 
 @query(
@@ -436,7 +436,8 @@ _PAIRS = "CASE WHEN length(query) >= 2 THEN list_distinct(list_transform(range(1
 def _hits(spark, d):
     hits = table(spark, d, "hit").where("query_id is not null and chunk_id is not null").select("query_id", "chunk_id", "rank_score", "rnk").distinct().drop("rnk")
     asked = table(spark, d, "answer").where("query_id is not null").groupBy("query_id").agg(F.max("query").alias("query"))
-    one = _chunks(spark, d).select("chunk_id", "text", "metadata").dropDuplicates(["chunk_id"])
+    # texts are made distinct only where a hit asks for them
+    one = _chunks(spark, d).select("chunk_id", "text", "metadata").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     return hits.join(asked, "query_id").join(one, "chunk_id")
 
 
@@ -479,13 +480,13 @@ def prompt_budget(spark, d):
     _PIECES
     + """, ctx AS (SELECT query_id, string_agg(piece, chr(10) ORDER BY number) AS context, count(*) AS n_used FROM run WHERE used <= 3000 GROUP BY query_id),
     given AS (SELECT query_id, count(*) AS n FROM piece GROUP BY query_id)
-    SELECT a.query_id, a.query, coalesce(g.n, 0)::INT AS num_chunks_used, coalesce(c.n_used, 0)::INT AS num_chunks_in_context, (length(a.query) + length(coalesce(c.context, '')) + """
+    SELECT a.query_id, a.query, coalesce(list_filter(string_split(c.context, chr(10)), lambda l: l <> '' AND NOT starts_with(l, '文档片段') AND NOT starts_with(l, '【'))[1], '') AS answer, coalesce(g.n, 0)::INT AS num_chunks_used, coalesce(c.n_used, 0)::INT AS num_chunks_in_context, (length(a.query) + length(coalesce(c.context, '')) + """
     + str(len(generation.PROMPT_HEAD) + len(generation.PROMPT_TAIL.replace("{query}", "")))
     + ")::INT AS prompt_length FROM asked a LEFT JOIN ctx c USING (query_id) LEFT JOIN given g USING (query_id)"
 )
 def rag_answers(spark, d):
     asked = table(spark, d, "answer").where("query_id is not null").groupBy("query_id").agg(F.max("query").alias("query"))
-    return generation.answers(asked, _given(spark, d)).drop("answer")
+    return generation.answers(asked, _given(spark, d))
 
 
 # ---- streaming (an extension) ----
