@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,15 +17,25 @@ _LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
 def hashing_encoder(dim: int = 64, gram: int = 3) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic encoder without a model: signed hashed character n-grams."""
+    """A deterministic encoder without a model: signed hashed character n-grams; a shorter text is one gram."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float64)
-        for k, t in enumerate(texts):
-            for i in range(max(1, len(t) - gram + 1)):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + gram].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                out[k, h % dim] += 1.0 if h >> 63 else -1.0
-        return out
+        points = [np.frombuffer(t.ljust(gram, "\0").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        if not points:
+            return np.zeros((0, dim))
+        sizes = np.fromiter(map(len, points), np.int64, len(points))
+        flat = np.concatenate(points).astype(np.uint64)
+        n = len(flat) - gram + 1
+        h = np.zeros(n, np.uint64)
+        for k in range(gram):
+            h = (h ^ flat[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inside = owner[:n] == owner[gram - 1 :]
+        h, owner = h[inside], owner[:n][inside]
+        cells = owner * dim + (h % np.uint64(dim)).astype(np.int64)
+        signs = np.where(h >> np.uint64(63), 1.0, -1.0)
+        return np.bincount(cells, signs, len(texts) * dim).reshape(len(texts), dim)
 
     return encode
 

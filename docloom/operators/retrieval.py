@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -89,7 +90,7 @@ class IvfIndex:
     """Vectors by the nearest of trained centroids; a search looks only at the nearest cells.
 
     The centroids are trained by k-means on at most ``sample`` vectors (the ones of the least hashed ids);
-    every vector is indexed. With few vectors there is one cell.
+    every vector is indexed. With few vectors there is one cell; with many, cells grow as the root of their number.
     """
 
     def __init__(self, rows: DataFrame, row_id: str, row_vec: str, n_cells: int | None = None, sample: int = 50_000, seed: int = 7) -> None:
@@ -99,7 +100,7 @@ class IvfIndex:
         self.spark = rows.sparkSession
         data = rows.select(F.col(row_id).alias("row_id"), F.col(row_vec).alias("vec")).where("vec is not null")
         total = data.count()
-        cells = max(1, n_cells or min(100, total // 10))
+        cells = max(1, n_cells or max(min(100, total // 10), isqrt(total) // 4))
         train = data.orderBy(F.xxhash64("row_id")).limit(sample).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
         if cells > 1:
             self.centroids = np.array(KMeans(k=cells, seed=seed, maxIter=20).fit(train).clusterCenters())
@@ -107,6 +108,20 @@ class IvfIndex:
             self.centroids = np.zeros((1, 1))
         self.cells = data.withColumn("cell", self._nearest(1)(F.col("vec"))[0])
 
+    def save(self, path: str) -> None:
+        """The cells and centroids as Parquet under a folder."""
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
+        rows = [(k, [float(x) for x in c]) for k, c in enumerate(self.centroids)]
+        self.spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IvfIndex:
+        """A saved index; nothing is trained or assigned again."""
+        index = cls.__new__(cls)
+        index.spark, index.cells = spark, spark.read.parquet(f"{path}/cells")
+        index.centroids = np.array([r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()])
+        return index
+
     def info(self) -> dict[str, int]:
         return {"cells": len(self.centroids), "dim": int(self.centroids.shape[1])}
 

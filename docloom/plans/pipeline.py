@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
@@ -10,12 +11,18 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import preview
 from docloom.functions.textlogic import Sizes
-from docloom.operators import embedding, generation, retrieval, structure
+from docloom.operators import cleaning, embedding, generation, retrieval, structure
 from docloom.profiles import LATIN, ZH
 from docloom.session import reachable
 from docloom.sources import readers, sinks
 
 
+def _there(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder exists, on whatever file system its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 @dataclass
 class Config:
     """Settings; folders are derived from ``base`` where they are not given, and nothing is created by asking."""
@@ -24,6 +31,8 @@ class Config:
     raw_dir: str | None = None
     processed_dir: str | None = None
     chunks_dir: str | None = None
+    cleaned_dir: str | None = None
+    index_dir: str | None = None
     profile: str = "zh"
     target_chunk_size: int = 800
     max_chunk_size: int = 1500
@@ -33,13 +42,15 @@ class Config:
     enable_semantic_splitting: bool = True
     repeat_threshold: int = 3
     embed_on: str = "text"
+    index_type: str = "auto"
+    probes: int = 8
     rank_top_k: int = 20
     rerank_top_k: int = 5
     max_context_length: int = 3000
     overwrite: bool = False
 
     def __post_init__(self) -> None:
-        for name, sub in (("raw_dir", "raw"), ("processed_dir", "processed"), ("chunks_dir", "chunks")):
+        for name, sub in (("raw_dir", "raw"), ("processed_dir", "processed"), ("chunks_dir", "chunks"), ("cleaned_dir", "cleaned"), ("index_dir", "index")):
             if getattr(self, name) is None:
                 setattr(self, name, str(Path(self.base) / sub))
 
@@ -52,27 +63,44 @@ class Config:
         return cls(**values)
 
 
+#: Chunks from which on an index of cells is taken where the index type is "auto".
+FLAT_UP_TO = 100_000
+
+
 class Pipeline:
-    """Chunks of documents, their vectors, and answers to queries; stages are made when first needed."""
+    """Chunks of documents, their vectors, and answers to queries; stages are made when first needed.
+
+    Vectors are kept under ``index_dir``: each chunk is encoded once, whatever the number of queries and sessions.
+    ``encoder`` makes the encoder of a worker, ``encoder_key`` names it; another name has vectors of its own.
+    """
 
-    def __init__(self, spark: SparkSession, config: Config | None = None) -> None:
+    def __init__(self, spark: SparkSession, config: Config | None = None, encoder: Callable = embedding.hashing_encoder, encoder_key: str = "hashing") -> None:
         self.spark, self.config = reachable(spark), config or Config()
+        self.encoder, self.encoder_key = encoder, encoder_key
         self.chunks: DataFrame | None = None
         self._vectors: DataFrame | None = None
+        self._cells: retrieval.IvfIndex | None = None
+
+    def process_documents(self, path: str, write: bool = True, extractor: Callable[[str, bytes], str] | None = None) -> DataFrame:
+        """Chunks of the files at a path: Markdown, content lists, CSV, and by ``extractor`` PDF and images.
 
-    def process_documents(self, path: str, write: bool = True) -> DataFrame:
-        """Chunks of the Markdown files at a path; files that are chunked already are left out unless ``overwrite``."""
+        Files that are chunked already are left out unless ``overwrite``; files that cannot be read are left out, see
+        ``readers.documents`` for their errors. Cleaned texts are written too where cleaning is on.
+        """
         c = self.config
-        docs = readers.markdown(self.spark, path)
+        docs = readers.documents(self.spark, path, extractor).where("text is not null").select("path", "text")
         done = None
-        if write and not c.overwrite and Path(c.chunks_dir).exists():
+        if write and not c.overwrite and _there(self.spark, c.chunks_dir):
             done = self.spark.read.parquet(c.chunks_dir)
             docs = docs.join(done.select("path").distinct(), "path", "left_anti")
         profile = LATIN if c.profile == "latin" else ZH
         sizes = Sizes(c.target_chunk_size, c.max_chunk_size, c.min_chunk_size)
         made = structure.chunks(docs, "path", "text", sizes, profile, c.repeat_threshold, c.enable_text_cleaning, c.enable_semantic_splitting)
         if write:
-            sinks.chunk_table(made, c.chunks_dir, mode="append" if done is not None else "overwrite")
+            mode = "append" if done is not None else "overwrite"
+            if c.enable_text_cleaning:
+                sinks.cleaned_text(docs.select("path", cleaning.basic_clean(F.col("text"), profile).alias("text")), c.cleaned_dir, mode)
+            sinks.chunk_table(made, c.chunks_dir, mode=mode)
             made = self.spark.read.parquet(c.chunks_dir)
         return self._take(made)
 
@@ -84,22 +112,39 @@ class Pipeline:
         return self._take(self.spark.read.parquet(folder))
 
     def _take(self, chunks: DataFrame) -> DataFrame:
-        self.chunks, self._vectors = chunks, None
+        self.chunks, self._vectors, self._cells = chunks, None, None
         return chunks
 
-    @property
-    def vectors(self) -> DataFrame:
+    def build_index(self) -> DataFrame:
+        """The vectors of all chunks, (chunk_id, vec): those not kept yet are encoded and added to what is kept."""
         if self.chunks is None:
             raise RuntimeError("no chunks yet: process documents or load them")
-        if self._vectors is None:
-            self._vectors = self.chunks.where(F.length(self.config.embed_on) > 0).withColumn("vec", embedding.encode(F.col(self.config.embed_on)))
+        folder = f"{self.config.index_dir}/{self.encoder_key}-{self.config.embed_on}"
+        wanted = self.chunks.where(F.length(self.config.embed_on) > 0).select("chunk_id", F.col(self.config.embed_on).alias("embedded")).dropDuplicates(["chunk_id"])
+        new = wanted
+        if _there(self.spark, folder):
+            new = wanted.join(self.spark.read.parquet(folder).select("chunk_id"), "chunk_id", "left_anti")
+        new.select("chunk_id", embedding.encode(F.col("embedded"), self.encoder, self.encoder_key).alias("vec")).write.mode("append").parquet(folder)
+        self._vectors = self.spark.read.parquet(folder).join(wanted.select("chunk_id"), "chunk_id", "left_semi")
+        kind = self.config.index_type
+        if kind == "ivf" or kind == "auto" and self._vectors.count() > FLAT_UP_TO:
+            retrieval.IvfIndex(self._vectors, "chunk_id", "vec").save(f"{folder}-cells")
+            self._cells = retrieval.IvfIndex.load(self.spark, f"{folder}-cells")
         return self._vectors
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self.build_index() if self._vectors is None else self._vectors
+
     def search(self, queries: DataFrame, use_rerank: bool = True) -> DataFrame:
         """Hits of each (query_id, query): two stages, or one without reranking."""
         c = self.config
-        q = queries.withColumn("qv", embedding.encode_queries(F.col("query")))
-        first = retrieval.batch_top_k(q, self.vectors, "query_id", "chunk_id", "qv", "vec", c.rank_top_k)
+        q = queries.withColumn("qv", embedding.encode_queries(F.col("query"), factory=self.encoder, key=self.encoder_key))
+        vectors = self.vectors
+        if self._cells is not None:
+            first = self._cells.search(q, "query_id", "qv", c.rank_top_k, c.probes)
+        else:
+            first = retrieval.batch_top_k(q, vectors, "query_id", "chunk_id", "qv", "vec", c.rank_top_k)
         meta = F.struct("section_path", "has_table", "has_list", "heading_level").alias("metadata")
         hits = first.withColumnsRenamed({"row_id": "chunk_id", "score": "rank_score"}).join(self.chunks.select("chunk_id", "text", meta), "chunk_id").join(queries, "query_id")
         return retrieval.search(hits.drop("rank"), c.rank_top_k, c.rerank_top_k, use_rerank)

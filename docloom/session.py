@@ -18,6 +18,7 @@ def local_session(cores: str = "*", app: str = "docloom", **conf: str) -> SparkS
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.legacy.javaCharsets": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv as csvlib
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.extraction import route, suffix
+from docloom.operators.extraction import file_text, route, suffix
 
 CHUNK_METADATA = (
     "chunk_id STRING, chunk_type STRING, section_path ARRAY<STRING>, heading_level INT, char_count INT, image_refs ARRAY<STRING>, source_file STRING, start_line INT, end_line INT, "
@@ -65,10 +67,9 @@ def extracted_pages(spark: SparkSession, folder: str) -> DataFrame:
 def csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "gbk"), infer: bool = True) -> DataFrame:
     """A CSV file with a header, in the first of the encodings in which it holds no replacement character.
 
-    Encodings beyond Unicode's need the session to allow Java's charsets, which is set where one is given.
+    Encodings beyond Unicode's need a session that allows Java's charsets (``spark.sql.legacy.javaCharsets``), as local
+    ones of this package do; without it Spark rejects them.
     """
-    if any(not e.lower().startswith(("utf", "iso-8859-1", "us-ascii")) for e in encodings):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for k, encoding in enumerate(encodings):
         df = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", infer).csv(path)
         if k + 1 == len(encodings):
@@ -79,6 +80,48 @@ def csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "
     raise ValueError("no encoding given")
 
 
+def csv_tables(files_df: DataFrame, encodings: tuple[str, ...] = ("utf-8", "gbk")) -> DataFrame:
+    """(path, markdown, error) of CSV files, each as one pipe table under its name, in the first encoding that can read it."""
+
+    def table(path: str, content: bytes) -> str:
+        for encoding in encodings:
+            try:
+                text = content.decode(encoding)
+                break
+            except UnicodeDecodeError:
+                continue
+        else:
+            raise ValueError(f"none of {encodings} reads the file")
+        rows = [["" if x is None else x for x in r] for r in csvlib.reader(io.StringIO(text.removeprefix("\ufeff")))]
+        if not rows:
+            raise ValueError("no columns")
+        lines = [f"| {' | '.join(rows[0])} |", "|" + "---|" * len(rows[0]), *(f"| {' | '.join(r)} |" for r in rows[1:])]
+        name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        return f"# {name}\n\n" + "\n".join(lines)
+
+    return extract(files_df, table)
+
+
+def documents(spark: SparkSession, folder: str, extractor: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """(path, text, error) of all files under a folder by their routes; a file that cannot be read has its error.
+
+    Markdown is taken as it is; an extractor's content list only where no Markdown of the same name lies beside it;
+    CSV files become pipe tables; PDF and image files go to ``extractor``, and without one are left out.
+    """
+    none = F.lit(None).cast("string")
+    md = markdown(spark, folder)
+    out = md.select("path", "text", none.alias("error"))
+    # both come from one extraction: the Markdown goes first
+    items = extracted_pages(spark, folder).withColumn("file_id", F.regexp_replace("path", r"_content_list\.json$", ".md"))
+    listed = file_text(items).select(F.col("file_id").alias("path"), F.col("file_text").alias("text"))
+    out = out.unionByName(listed.join(md.select("path"), "path", "left_anti").select("path", "text", none.alias("error")))
+    found = files(spark, folder, recursive=True)
+    made = csv_tables(found.where("route = 'csv'"))
+    if extractor is not None:
+        made = made.unionByName(extract(found.where("route in ('pdf', 'image')"), extractor))
+    return out.unionByName(made.withColumnRenamed("markdown", "text"))
+
+
 def chunk_json(spark: SparkSession, folder: str, sentences: bool = True, strict: bool = True) -> DataFrame:
     """Chunks of all *_chunks.json files of a folder (JSON arrays); an unknown metadata key is an error if ``strict``."""
     raw = spark.read.option("pathGlobFilter", "*_chunks.json").text(folder, wholetext=True)
@@ -110,5 +153,8 @@ def _colons(ddl: str) -> str:
 def lexicon_json(spark: SparkSession, path: str) -> DataFrame:
     """(standard, variant, ord) of a JSON object {standard: [variants]}."""
     raw = spark.read.text(path, wholetext=True)
-    pairs = raw.select(F.posexplode(F.map_entries(F.from_json("value", "MAP<STRING, ARRAY<STRING>>"))).alias("i", "e"))
-    return pairs.select(F.col("e.key").alias("standard"), "i", F.posexplode("e.value").alias("j", "variant")).select("standard", "variant", (F.col("i") * 1000 + F.col("j") + 1).cast("int").alias("ord"))
+    pairs = raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.map_entries(F.from_json("value", "MAP<STRING, ARRAY<STRING>>"))).alias("i", "e"))
+    # numbered through, whatever the number of a term's variants
+    before = F.expr("coalesce(sum(size(e.value)) over (partition by path order by i rows between unbounded preceding and 1 preceding), 0)")
+    numbered = pairs.select("e", "i", before.alias("before"))
+    return numbered.select(F.col("e.key").alias("standard"), "before", F.posexplode("e.value").alias("j", "variant")).withColumn("ord", F.col("before") + F.col("j") + 1).select("standard", "variant", F.col("ord").cast("int").alias("ord"))

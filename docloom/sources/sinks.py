@@ -26,6 +26,12 @@ def cleaned_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("path", "text").write.mode(mode).parquet(path)
 
 
+def text_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(path, text) rows as plain text, a folder for each document by the name of its file."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/\\\\]+)$", 1), r"\.[^.]+$", "")
+    df.where("text is not null").select("text", name.alias("document")).write.mode(mode).partitionBy("document").text(path)
+
+
 def lexicon_json(lexicon: DataFrame) -> DataFrame:
     """One row: the lexicon as a JSON object {standard: [variants in order]}."""
     variants = lexicon.groupBy("standard").agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "variant"))), lambda s: s["variant"]).alias("v"))

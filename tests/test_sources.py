@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import session
+from docloom.operators import embedding
 from docloom.plans.pipeline import Config, Pipeline, create_pipeline
 from docloom.sources import readers, sinks
 from docloom.streaming import ingest
@@ -85,6 +86,68 @@ def test_from_documents_to_answers(spark, tmp_path):
     assert Pipeline(spark, p.config).load_chunks_from_files().count() == 2
 
 
+def test_files_of_all_kinds_become_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# a", encoding="utf-8")
+    (tmp_path / "in" / "a_content_list.json").write_text(json.dumps([{"type": "text", "text": "not taken"}]))
+    (tmp_path / "in" / "b_content_list.json").write_text(json.dumps([{"type": "text", "text": "p"}, {"type": "list", "list_items": ["q"]}]))
+    (tmp_path / "in" / "c.csv").write_bytes("名,数\n甲,1\n".encode("gbk"))
+    (tmp_path / "in" / "d.pdf").write_bytes(b"pages")
+    (tmp_path / "in" / "e.png").write_bytes(b"broken")
+    (tmp_path / "in" / "f.csv").write_bytes(b"\xff\xff")
+
+    def extractor(path: str, content: bytes) -> str:
+        if content == b"broken":
+            raise OSError("cannot be read")
+        return "# " + content.decode()
+
+    got = {Path(r["path"]).name: (r["text"], r["error"]) for r in readers.documents(spark, str(tmp_path / "in"), extractor).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a.md": "# a", "b.md": "p\n\nq", "c.csv": "# c\n\n| 名 | 数 |\n|---|---|\n| 甲 | 1 |", "d.pdf": "# pages", "e.png": None, "f.csv": None}
+    assert "cannot be read" in got["e.png"][1] and "reads the file" in got["f.csv"][1]
+    p = Pipeline(spark, Config(base=str(tmp_path / "work")))
+    made = p.process_documents(str(tmp_path / "in"), extractor=extractor)
+    assert {Path(r["path"]).name for r in made.select("path").distinct().collect()} <= {"a.md", "b.md", "c.csv", "d.pdf"}
+    assert spark.read.parquet(p.config.cleaned_dir).count() == 4
+    sinks.text_files(spark.createDataFrame([("x/y.md", "one"), ("z.md", None)], "path string, text string"), str(tmp_path / "texts"))
+    assert [(r["document"], r["value"]) for r in spark.read.text(str(tmp_path / "texts")).collect()] == [("y", "one")]
+
+
+@pytest.mark.parametrize("kind", ["flat", "ivf"])
+def test_chunks_are_encoded_once(spark, tmp_path, kind):
+    log = tmp_path / "log"
+    log.touch()
+
+    def counting():
+        inner = embedding.hashing_encoder()
+
+        def encode(texts):
+            with log.open("a") as f:
+                f.writelines(f"{len(t)}\n" for t in texts)
+            return inner(texts)
+
+        return encode
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.md").write_text(f"# {k}\n\n第{k}份文件的内容说明保险责任。", encoding="utf-8")
+    config = Config(base=str(tmp_path / "work"), index_type=kind)
+    asked = spark.createDataFrame([(1, "保险责任")], "query_id long, query string")
+    for _ in range(2):
+        # a new session of work finds what the first one kept
+        p = Pipeline(spark, config, counting, f"counting-{kind}")
+        p.process_documents(str(tmp_path / "in"))
+        assert p.query(asked).first()["answer"]
+        assert p.query(asked).first()["answer"]
+    lines = log.read_text().split()
+    question = max(map(int, lines))
+    assert sum(int(n) != question for n in lines) == 3
+    (tmp_path / "in" / "new.md").write_text("# n\n\n另一份文件。", encoding="utf-8")
+    p = Pipeline(spark, config, counting, f"counting-{kind}")
+    p.process_documents(str(tmp_path / "in"))
+    assert p.vectors.count() == 4
+    assert sum(int(n) != question for n in log.read_text().split()) == 4
+
+
 def test_settings():
     assert Config(base="x").chunks_dir == str(Path("x") / "chunks") and Config(chunks_dir="y").chunks_dir == "y"
     with pytest.raises(ValueError, match="unknown"):
