@@ -25,6 +25,8 @@ SHINGLE = 5
 BANDS, ROWS = 8, 4
 #: Leads of a bucket in the first round, and how many times more there are in each further one.
 LEADS, MORE_LEADS = 16, 8
+#: Buckets (8 bytes each) that may be sent to all executors; more of them are joined by an exchange.
+MAX_SENT = 500_000
 
 _TOKEN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{N}+|[^\s]")
 # Names of months, which make a date beside a number, and words before a writer's name.
@@ -190,8 +192,13 @@ class SiteLines:
         # masked and signed once; read by every step below
         signed = cut_lineage(nodes.mapInPandas(_sign, "node long, twin long, docs long, form long, masked string, bands array<long>"))
         buckets = signed.select(F.explode("bands").alias("bucket"), "form")
-        shared = buckets.groupBy("bucket").agg(F.min("form").alias("first"), F.max("form").alias("other")).where("first <> other").select("bucket")
-        members = cut_lineage(buckets.join(shared, "bucket").distinct())
+        shared = buckets.groupBy("bucket").agg(F.min("form").alias("first"), F.max("form").alias("other"), F.count("*").alias("rows")).where("first <> other")
+        shared = cut_lineage(shared)
+        # a bucket of two is known by now; the others are looked up, without an exchange where they are few
+        more = shared.where("rows > 2").select("bucket")
+        more = F.broadcast(more) if more.count() <= MAX_SENT else more
+        two = shared.where("rows = 2").select("bucket", F.explode(F.array("first", "other")).alias("form"))
+        members = cut_lineage(two.unionByName(buckets.join(more, "bucket").distinct()))
         forms = cut_lineage(signed.select("form", "masked").join(members.select("form").distinct(), "form", "left_semi").dropDuplicates(["form"]))
         labels = link(members, forms, similar)
         #: every line in the cluster of its form; a form linked to no other is a cluster of its own
