@@ -3,16 +3,17 @@
 Headers and footers are lines that come back in a source up to small differences, and lines built like
 those; page numbers are lines, or ends of header lines, of the forms that page numbers have. Everything
 else asks the corpus: counts of three neighbouring characters and of words, over all texts, say whether
-the characters on both sides of a line end belong together, and whether a character or word is a misreading
-of a far more frequent one. All decisions are tables joined with the counts; nothing of the corpus is sent
-to the driver or broadcast.
+the characters on both sides of a line end belong together, whether a hyphen there belongs to the word, and whether a
+character or word is a misreading of a far more frequent one. Which characters are taken for which is learned from
+the same counts, beside a list of look-alikes. Decisions are tables joined with the counts. Misread triples and words
+are sent to the workers where they are few, so that a scan notes nothing else; where they are many it notes all
+that may be one, and a join decides.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,13 @@ _INNER_STOP = re.compile(r"[。！？；，]|[a-z][.,;] |[.!?;,]$")
 _HYPHEN = "-¬­‐"
 _WORD = re.compile(r"(?<![\p{Latin}\p{N}_.@/])(?=[\p{L}\p{N}]*\p{L}\p{M}*)[\p{Latin}\p{N}]{3,}(?![_@/\\])")
 _NUMBERISH = re.compile(r"(?<![A-Za-z0-9_./\\#$-])[0-9OolISZB][0-9OolISZB.,]*(?![A-Za-z_\\/])")
+#: Words with a hyphen inside, and words that end in one before another, as in "pre- and".
+_COMPOUND = re.compile(r"(?<![\p{Latin}\p{N}_.@/-])\p{Latin}{2,}-(?: \p{Ll}{2,}|\p{Latin}{2,})(?![\p{Latin}\p{N}_@/\\-])")
+_LAST_LETTERS = re.compile(r"\p{Latin}+$")
+_FIRST_LETTERS = re.compile(r"^\p{Latin}+")
 _BIT = 21
+#: Misread triples, and misread words, that may be sent to the workers (about 50 bytes each).
+MAX_SENT = 300_000
 
 _DECISION = "id string, kind string, line_no int, pos int, cand int, size int, repl string, tri long, tri_b long, word string"
 _COLUMNS = ["id", "kind", "line_no", "pos", "cand", "size", "repl", "tri", "tri_b", "word"]
@@ -83,6 +90,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = [t for t in pdf["text"].iloc[first : first + 2_000] if t]
             joined = "\n".join(texts)
             words.update(_WORD.findall(joined))
+            words.update(_COMPOUND.findall(joined))
             # line ends stay, other white space goes; digits as in _folded
             flat = _DIGITS.sub("0", re.sub(r"[^\S\n]+|[　​﻿]+", "", joined))
             p = code_points(flat).astype(np.int64)
@@ -153,13 +161,15 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 _EDGES = " \t\r　​﻿"
 
 
-def _break(lines: list[str], a: int, b: int) -> tuple[str, int, int]:
-    """How line number a goes on in line number b, as in _joins."""
+def _break(ident: str, lines: list[str], a: int, b: int) -> Iterator[tuple]:
+    """The row of line number a going on in line number b, if it may: sure or open, with the word's parts around a hyphen."""
     x, y = lines[a].strip(_EDGES), lines[b].strip(_EDGES)
     how, tri, tri_b = _joins(x, y)
-    if a == 0 and how == "open" and len(x) <= 16 and len(x) * 1.6 < len(y):
-        return "no", 0, 0  # a title above its text
-    return how, tri, tri_b
+    if how == "open" and not (a == 0 and len(x) <= 16 and len(x) * 1.6 < len(y)):  # else a title above its text
+        yield ident, "open", a, b, a, 0, None, tri, tri_b, None
+    elif how == "sure":
+        left, right = (_LAST_LETTERS.search(x[:-1]), _FIRST_LETTERS.search(y)) if x[-1] in _HYPHEN else (None, None)
+        yield ident, "sure", a, b, a, 0, None, None, None, f"{left[0]}\n{right[0]}" if left and right else None
 
 
 def _over_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,11 +187,7 @@ def _over_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not s or not split_page(s)[0]:
                     continue
                 if over and before is not None:
-                    how, tri, tri_b = _break(lines, before, k)
-                    if how == "sure":
-                        out.append((ident, "sure", before, k, before, 0, None, None, None, None))
-                    elif how == "open":
-                        out.append((ident, "open", before, k, before, 0, None, tri, tri_b, None))
+                    out += _break(ident, lines, before, k)
                 before, over = k, False
             if len(out) > 20_000:
                 yield _frame(out)
@@ -190,8 +196,20 @@ def _over_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _frame(out)
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each text: page marks, possible headers, possible breaks, possible misreadings."""
+def _candidates(sent):
+    """Of each text: page marks, possible headers, possible breaks, possible misreadings.
+
+    ``sent`` holds the misread characters, and the misread triples and words, or None for either of these where they are too many.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        misread, triples, words = sent.value
+        yield from _scan(batches, misread, triples, words)
+
+    return run
+
+
+def _scan(batches: Iterator[pd.DataFrame], misread: frozenset[str], triples: frozenset[int] | None, words: frozenset[str] | None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out: list[tuple] = []
         for ident, source, text in zip(pdf["id"], pdf["source"], pdf["text"]):
@@ -213,11 +231,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         out.append((ident, "line", k, 1 if page else 0, k, 0, source, None, None, key))
                 body.append(k)
             for a, b in zip(body, body[1:]):
-                how, tri, tri_b = _break(lines, a, b)
-                if how == "sure":
-                    out.append((ident, "sure", a, b, a, 0, None, None, None, None))
-                elif how == "open":
-                    out.append((ident, "open", a, b, a, 0, None, tri, tri_b, None))
+                out += _break(ident, lines, a, b)
             # misreadings: in the text as it runs on over line ends
             flat, where = [], []
             for k in body:
@@ -230,8 +244,10 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         where.append(base + i)
             run = "".join(flat)
             for i in range(1, len(run) - 1):
-                if run[i] in MISREAD:
-                    out.append((ident, "char", 0, where[i], 0, 1, None, packed(run[i - 1 : i + 2]), None, None))
+                if run[i] in misread:
+                    tri = packed(run[i - 1 : i + 2])
+                    if triples is None or tri in triples:
+                        out.append((ident, "char", 0, where[i], 0, 1, None, tri, None, None))
             for m in _NUMBERISH.finditer(text):
                 t = m[0].rstrip(".,")
                 if not any(c in MISREAD_DIGITS for c in t):
@@ -242,7 +258,8 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if digits and not re.fullmatch(r"\d+[OoIlSZB]?", t) or digits and after and (after in "0123456789" or ord(after) > 0x2E80) or held:
                     out.append((ident, "digit", 0, m.start(), 0, len(t), t.translate(str.maketrans(MISREAD_DIGITS)), None, None, None))
             for m in _WORD.finditer(text):
-                out.append((ident, "word", 0, m.start(), 0, len(m[0]), None, None, None, m[0]))
+                if words is None or m[0] in words:
+                    out.append((ident, "word", 0, m.start(), 0, len(m[0]), None, None, None, m[0]))
             if len(out) > 20_000:
                 yield _frame(out)
                 out = []
@@ -283,14 +300,68 @@ class ScanRepair:
         self.tri = vocab.where("tri is not null").select("tri", "n")
         self.words = vocab.where("word is not null").select("word", "n")
         self.rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0")
-        self.found = cut_lineage(self.rows.mapInPandas(_candidates, _DECISION))
         self.least, self.ratio = least, ratio
+        self.pairs = self._confused()
+        self.wrong, self.better = cut_lineage(self._wrong()), cut_lineage(self._better())
+        # filtered in the scan where they are few; the joins below decide either way
+        triples, words = (None if t.count() > MAX_SENT else frozenset(r[0] for r in t.collect()) for t in (self.wrong.select("tri"), self.better.select("word")))
+        sent = df.sparkSession.sparkContext.broadcast((frozenset(self.pairs), triples, words))
+        self.found = cut_lineage(self.rows.mapInPandas(_candidates(sent), _DECISION))
+
+    def _parts(self) -> DataFrame:
+        mask = F.lit((1 << _BIT) - 1)
+        return self.tri.select("tri", "n", F.shiftright("tri", 2 * _BIT).alias("before"), F.shiftright("tri", _BIT).bitwiseAND(mask).alias("middle"), F.col("tri").bitwiseAND(mask).alias("after"))
+
+    def _confused(self) -> dict[str, str]:
+        """What each misread character stands for: the list of look-alikes, and what the corpus shows beside it.
+
+        A character is learned as a misreading of another where it stands in at least ``least`` surroundings in which
+        the other is far more frequent, and these hold four tenths of all its occurrences. At most one entry for each
+        character there is, so the table is bounded by the characters of Unicode.
+        """
+        han = F.col("middle").between(0x3400, 0x9FFF) & (F.col("before").between(0x3400, 0x9FFF) | F.col("after").between(0x3400, 0x9FFF))
+        parts = self._parts().where(han)
+        usual = parts.groupBy("before", "after").agg(F.max_by("middle", "n").alias("usual"), F.max("n").alias("n_usual")).where(f"n_usual >= {self.ratio}")
+        rare = parts.join(usual, ["before", "after"]).where(f"middle <> usual and n_usual >= n * {self.ratio}")
+        shown = rare.groupBy("middle", "usual").agg(F.count("*").alias("surroundings"), F.sum("n").alias("times")).where(f"surroundings >= {self.least}")
+        shown = shown.join(parts.groupBy("middle").agg(F.sum("n").alias("all")), "middle").where("times * 10 >= `all` * 4")
+        best = shown.groupBy("middle").agg(F.max_by("usual", F.struct("times", "usual")).alias("usual"))
+        return {chr(r["middle"]): chr(r["usual"]) for r in best.collect()} | MISREAD
+
+    def _wrong(self) -> DataFrame:
+        """(tri, to): triples whose middle character is a misreading of ``to``, the triple with that one being far more frequent."""
+        pairs = self.rows.sparkSession.createDataFrame([(ord(a), ord(b)) for a, b in self.pairs.items()], "middle long, `to` long")
+        better = (F.shiftleft("before", 2 * _BIT) + F.shiftleft("to", _BIT) + F.col("after")).alias("better")
+        suspects = self._parts().join(F.broadcast(pairs), "middle").select("tri", "n", "to", better)
+        known = self.tri.select(F.col("tri").alias("better"), F.col("n").alias("n_better")).where(f"n_better >= {self.ratio}")
+        return suspects.join(known, "better").where(f"n_better >= n * {self.ratio}").select("tri", "to")
+
+    def _better(self) -> DataFrame:
+        """(word, repl): misread words and what they are read for."""
+        plain = self.words.where("word not like '%-%'")
+        known = plain.select(F.col("word").alias("better"), F.col("n").alias("n_better")).where("n_better >= 10")
+        read = plain.mapInPandas(_misread_words, "word string, n long, better string").join(known, "better")
+        return read.where(f"n_better >= n * {self.ratio}").groupBy("word").agg(F.max_by("better", "n_better").alias("repl"))
+
+    def _times(self, lines: DataFrame) -> DataFrame:
+        """(source, key, times): how many lines of the source are the same up to small differences.
+
+        Lines that agree in their first or last six characters are compared with the most frequent one of these, and
+        counted with it where no more than one character in five differs.
+        """
+        counts = cut_lineage(lines.where("source is not null").groupBy("source", "key").agg(F.count("*").alias("n")))
+        ends = F.explode(F.array(F.concat(F.lit("<"), F.substring("key", 1, 6)), F.concat(F.lit(">"), F.substring("key", -6, 6)))).alias("end")
+        each = counts.where(F.length("key") >= 8).select("source", "key", "n", ends)
+        lead = each.groupBy("source", "end").agg(F.max_by("key", F.struct("n", "key")).alias("lead"))
+        near = each.join(lead, ["source", "end"]).where(F.levenshtein("key", "lead") * 5 <= F.length("lead")).select("source", "key", "n", "lead").distinct()
+        together = near.groupBy("source", "lead").agg(F.sum("n").alias("together"))
+        most = near.join(together, ["source", "lead"]).groupBy("source", "key").agg(F.max("together").alias("together"))
+        return counts.join(most, ["source", "key"], "left").select("source", "key", F.greatest("n", F.coalesce("together", "n")).alias("times"))
 
     def headers(self) -> DataFrame:
         """(id, line_no, with_page) of header and footer lines."""
         lines = self.found.where("kind = 'line'").select("id", "line_no", F.col("pos").alias("with_page"), F.col("repl").alias("source"), F.col("word").alias("key")).distinct()
-        counts = lines.where("source is not null").groupBy("source", "key").agg(F.count("*").alias("times"))
-        known = lines.join(counts, ["source", "key"], "left")
+        known = lines.join(self._times(lines), ["source", "key"], "left")
         ends = F.concat(F.lit("end:"), F.substring("key", -3, 3))
         shape = F.regexp_replace("key", r"[\p{L}\p{M}0]+", "x")
         feats = F.array_compact(F.array(ends, F.when(shape.rlike("[|《》—]"), F.concat(F.lit("shape:"), shape))))
@@ -302,7 +373,10 @@ class ScanRepair:
         return judged.where(F.col("strong").isNotNull() & ((F.col("times") >= 2) | F.col("strong")) | (F.col("times") >= self.least + 2) | ((F.col("with_page") == 1) & (F.col("times") >= 1))).select("id", "line_no", "with_page")
 
     def decisions(self) -> DataFrame:
-        """(id, kind, line_no, pos, size, repl) of all noise: kinds header, page, break, char."""
+        """(id, kind, line_no, pos, size, repl) of all noise: kinds header, page, break, char.
+
+        ``repl`` of a char is what it is read for; of a break at a hyphen the two parts of the word, see ``hyphens``.
+        """
         f, headers = self.found, cut_lineage(self.headers())
         none = F.lit(None).cast("string")
         zero = F.lit(0)
@@ -314,33 +388,42 @@ class ScanRepair:
         topped = self.rows.select("id", "text").join(tops.groupBy("id").agg(F.collect_set("line_no").alias("tops")), "id")
         pairs = f.unionByName(cut_lineage(topped.mapInPandas(_over_headers, _DECISION)))
         opened = pairs.where("kind = 'open'").select("id", "line_no", F.col("pos").alias("next_no"), F.explode(F.array("tri", "tri_b")).alias("tri"))
-        known = opened.join(self.tri.where("n > 1").select("tri"), "tri").groupBy("id", "line_no", "next_no").agg(F.count("*").alias("both")).where("both >= 2").select("id", "line_no", "next_no")
-        breaks = pairs.where("kind = 'sure'").select("id", "line_no", F.col("pos").alias("next_no")).unionByName(known).distinct()
+        known = opened.join(self.tri.where("n > 1").select("tri"), "tri").groupBy("id", "line_no", "next_no").agg(F.count("*").alias("both")).where("both >= 2").select("id", "line_no", "next_no", none.alias("word"))
+        breaks = pairs.where("kind = 'sure'").select("id", "line_no", F.col("pos").alias("next_no"), "word").unionByName(known).distinct()
         # a header at either end is no broken line
         breaks = breaks.join(tops, ["id", "line_no"], "left_anti").join(tops.withColumnRenamed("line_no", "next_no"), ["id", "next_no"], "left_anti")
-        breaks = breaks.select("id", F.lit("break").alias("kind"), "line_no", F.col("next_no").alias("pos"), zero.alias("size"), none.alias("repl"))
-        middle = F.shiftright("tri", _BIT).bitwiseAND(F.lit((1 << _BIT) - 1))
-        table = F.create_map(*chain.from_iterable((F.lit(ord(a)).cast("long"), F.lit(ord(b)).cast("long")) for a, b in MISREAD.items()))
-        suspects = self.tri.select("tri", "n", F.element_at(table, middle).alias("to")).where("`to` is not null")
-        suspects = suspects.select("tri", "n", (F.col("tri") - F.shiftleft(middle, _BIT) + F.shiftleft("to", _BIT)).alias("better"), "to")
-        wrong = suspects.join(self.tri.select(F.col("tri").alias("better"), F.col("n").alias("n_better")), "better").where(f"n_better >= {self.ratio} and n_better >= n * {self.ratio}")
-        chars = f.where("kind = 'char'").join(wrong.select("tri", "to"), "tri").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", F.decode(F.unhex(F.lpad(F.hex("to"), 8, "0")), "utf-32").alias("repl"))
+        breaks = breaks.select("id", F.lit("break").alias("kind"), "line_no", F.col("next_no").alias("pos"), zero.alias("size"), F.col("word").alias("repl"))
+        as_text = F.decode(F.unhex(F.lpad(F.hex("to"), 8, "0")), "utf-32")
+        chars = f.where("kind = 'char'").join(self.wrong, "tri").select("id", "kind", "line_no", "pos", "size", as_text.alias("repl"))
         digits = f.where("kind = 'digit'").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", "repl")
-        better = self.words.mapInPandas(_misread_words, "word string, n long, better string").join(self.words.select(F.col("word").alias("better"), F.col("n").alias("n_better")), "better")
-        better = better.where(f"n_better >= 10 and n_better >= n * {self.ratio}").groupBy("word").agg(F.max_by("better", "n_better").alias("repl"))
-        words = f.where("kind = 'word'").drop("repl").join(better, "word").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", "repl")
+        words = f.where("kind = 'word'").drop("repl").join(self.better, "word").select("id", F.lit("char").alias("kind"), "line_no", "pos", "size", "repl")
         out = head
         for part in (page, in_head, breaks, chars, digits, words):
             out = out.unionByName(part)
         return out.distinct()
 
+    def hyphens(self, parts: DataFrame) -> DataFrame:
+        """(repl, glue) of the words cut at a hyphen: what stands between their parts in the corpus.
+
+        Nothing where the joined word is the most frequent, or none of the forms is known; a hyphen where the word is mostly
+        written with one; a hyphen and a space where the first part stands so before the second one, as in "pre- and".
+        """
+        left, right = (F.split("repl", "\n")[k] for k in (0, 1))
+        forms = parts.select("repl").distinct().select("repl", F.posexplode(F.array(F.concat(left, right), F.concat(left, F.lit("-"), right), F.concat(left, F.lit("- "), right))).alias("form", "word"))
+        seen = forms.join(self.words, "word", "left").groupBy("repl").agg(*(F.coalesce(F.max(F.when(F.col("form") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(3)))
+        glue = F.when((F.col("n2") > F.col("n1")) & (F.col("n2") > F.col("n0")), "- ").when(F.col("n1") > F.col("n0"), "-").otherwise("")
+        return seen.select("repl", glue.alias("glue"))
+
     def kinds(self) -> DataFrame:
         """(id, noise_kind), each kind present in a text once."""
         return self.decisions().select(F.col("id").alias(self.id_col), F.col("kind").alias("noise_kind")).distinct()
 
     def repaired(self) -> DataFrame:
         """(id, text, noise_kinds) of every text: without headers and page numbers, lines joined, characters put right."""
-        marks = self.decisions().groupBy("id").agg(F.collect_list(F.struct("kind", "line_no", "pos", "size", "repl")).alias("marks"))
+        every = cut_lineage(self.decisions())
+        glued = self.hyphens(every.where("kind = 'break' and repl is not null"))
+        every = every.join(glued, "repl", "left").withColumn("repl", F.when(F.col("kind") == "break", F.col("glue")).otherwise(F.col("repl")))
+        marks = every.groupBy("id").agg(F.collect_list(F.struct("kind", "line_no", "pos", "size", "repl")).alias("marks"))
         rows = self.rows.select("id", "text").dropDuplicates(["id"]).join(marks, "id", "left")
         out = rows.mapInPandas(_rebuild, "id string, text string, noise_kinds array<string>")
         return out.withColumnRenamed("id", self.id_col)
@@ -353,16 +436,16 @@ def rebuild(text: str, marks: list) -> str:
         text = text[:pos] + repl + text[pos + size :]
     lines = text.split("\n")
     gone = {m["line_no"] for m in marks if m["kind"] in ("header", "page")}
-    goes_on = {m["line_no"]: m["pos"] for m in marks if m["kind"] == "break"}
+    goes_on = {m["line_no"]: (m["pos"], m["repl"]) for m in marks if m["kind"] == "break"}
     out: list[str] = []
-    k, joined = 0, False
+    k, joined, glue = 0, False, None
     while k < len(lines):
         if k not in gone:
             line = lines[k].strip(" \t\r　​﻿")
             if joined and out:
                 last = out[-1]
                 if last[-1:] in _HYPHEN and line[:1].islower():
-                    out[-1] = last[:-1] + line
+                    out[-1] = last[:-1] + (glue or "") + line
                 else:
                     gap = " " if last[-1:].isascii() and line[:1].isascii() and not (last[-1:].isdigit() and line[:1].isdigit()) else ""
                     out[-1] = last + gap + line
@@ -370,7 +453,7 @@ def rebuild(text: str, marks: list) -> str:
                 out.append(line)
             joined = k in goes_on
             if joined:
-                k = goes_on[k]
+                k, glue = goes_on[k]
                 continue
         k += 1
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")

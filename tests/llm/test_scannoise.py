@@ -2,7 +2,7 @@
 
 import pytest
 
-from docloom.llm.scannoise import ScanRepair, _joins, packed, rebuild, split_page
+from docloom.llm.scannoise import MISREAD, ScanRepair, _joins, packed, rebuild, split_page
 
 BODY = ["被保险人应当在三十日内向保险公司提交单据。", "保险公司收到单据后用十日完成审核，结果以书面为准。", "保单持有人可以在线变更保险金额，变更自次日零时起生效。", "受益人凭单据可领取500元以内的费用。"]
 HEAD = "东海保险 家财险条款"
@@ -72,6 +72,42 @@ def test_breaks_over_headers(spark, corpus):
     assert got["whole"]["noise_kinds"] == ["header"] and got["whole"]["text"] == f"{BODY[0]}\n{BODY[1]}"
 
 
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "chunk_id string, source string, text string").selectExpr("chunk_id", "text", "struct(source as source_file) as metadata")
+
+
+def test_hyphens_by_what_the_corpus_writes(spark):
+    known = ["a well-known house", "the insurance pays", "die Kranken- und Pflegeversicherung zahlt", "insurance for all", "und so weiter"]
+    rows = [(f"k{k}", "s", known[k % 5]) for k in range(20)]
+    rows += [("inner", "s", "it is a well-\nknown rule"), ("cut", "s", "this insur-\nance ends"), ("hanging", "s", "neue Kranken-\nund Pflegeversicherung"), ("unknown", "s", "some quix-\notic rule")]
+    got = {r["chunk_id"]: r["text"] for r in ScanRepair(frame(spark, rows), frame(spark, rows)).repaired().collect()}
+    assert got["inner"] == "it is a well-known rule" and got["cut"] == "this insurance ends"
+    assert got["hanging"] == "neue Kranken- und Pflegeversicherung" and got["unknown"] == "some quixotic rule"
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_misreadings_outside_the_list_are_learned(spark, monkeypatch, most):
+    import docloom.llm.scannoise as module
+
+    if most is not None:
+        monkeypatch.setattr(module, "MAX_SENT", most)
+    assert "檢" not in MISREAD
+    rows = [(f"k{k}", "s", "请提交检验报告。检查结果以检定书为准，检修另计。") for k in range(12)]
+    rows.append(("bad", "s", "请提交檢验报告。檢查结果以檢定书为准，检修另计。"))
+    repair = ScanRepair(frame(spark, rows), frame(spark, rows))
+    assert repair.pairs["檢"] == "检"
+    got = {r["chunk_id"]: (r["text"], r["noise_kinds"]) for r in repair.repaired().collect()}
+    assert got["bad"] == (rows[0][2], ["char"]) and got["k1"] == (rows[1][2], [])
+
+
+def test_headers_with_differences_count_together(spark):
+    # each with another character misread, so that none comes back as it is
+    head = "东海人寿保险股份有限公司终身寿险利益条款节选本"
+    rows = [(f"h{k}", "s", f"{BODY[k % 4]}\n{head[: 3 * k + 1]}{'甲乙丙丁戊己庚'[k]}{head[3 * k + 2 :]}\n{BODY[(k + 1) % 4]}") for k in range(7)]
+    got = {(r["chunk_id"], r["noise_kind"]) for r in ScanRepair(frame(spark, rows), frame(spark, rows)).kinds().collect()}
+    assert {(f"h{k}", "header") for k in range(7)} <= got
+
+
 def test_empty_table(spark, corpus):
     assert ScanRepair(corpus.limit(0), corpus.limit(0)).kinds().count() == 0
 
