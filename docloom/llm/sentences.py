@@ -1,8 +1,8 @@
 """Sentence boundaries across languages and scripts, with statistics learned from the texts themselves.
 
 One pass counts, for each language: words with and without a final period, what stands at the beginning of
-lines and behind unmistakable ends, what follows a closing quotation, and which word follows which period.
-Log-likelihood ratios over these counts tell abbreviations (words that keep company with a period) and
+lines and behind unmistakable ends, what follows a closing quotation or an ellipsis, and which word follows which
+period. Log-likelihood ratios over these counts tell abbreviations (words that keep company with a period) and
 sentence starters (words drawn to beginnings). A second pass decides each candidate with them. Scripts
 without spaces use the first characters in place of the first word; Thai has no marks, so its spaces are
 the candidates.
@@ -28,9 +28,8 @@ FULL_STOPS = "。！？｡।॥؟!?።။۔"
 CLOSERS = "\"”’」』）)】》〉»“]"
 PAIRS = {"“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "«": "»", "„": "“"}
 INVISIBLE = "​‌‍‎‏⁠﻿­"
-#: Months, which follow the day as an ordinal number with a period.
-MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-#: Frequent function words, used only to tell Latin-script languages apart.
+#: Frequent function words, used only to tell apart languages of the Latin script that may be known; others are counted
+#: together as one. Every other script that puts spaces between words counts as a language.
 LATIN_HINTS = {
     "en": frozenset("the and of for is are a an to by with on in that when".split()),
     "de": frozenset("der die das und nicht ein eine ist von zum bei dem den".split()),
@@ -39,6 +38,8 @@ LATIN_HINTS = {
 
 _ARABIC = re.compile(r"\p{Arabic}")
 _DEVANAGARI = re.compile(r"\p{Devanagari}")
+_SCRIPTS = [(name.lower(), re.compile(rf"\p{{{name}}}")) for name in ("Cyrillic", "Greek", "Hebrew", "Bengali", "Tamil")]
+_ELLIPSIS = re.compile(r"…+|\.{3,}")
 _LATIN_WORD = re.compile(r"\p{Latin}+")
 _NUMBER = re.compile(r"\d[\d.,]*")
 _ONLY_NUMBER = re.compile(r"[\d.,]+")
@@ -61,8 +62,9 @@ _STAT = "lang string, kind string, word string, next string, n long"
 
 def latin_language(words: list[str]) -> str:
     votes = {k: sum(w in v for w in words) for k, v in LATIN_HINTS.items()}
-    best = max(votes, key=votes.get)
-    return best if votes[best] else "latin"
+    best = max(votes.values())
+    first = [k for k, n in votes.items() if n == best]
+    return first[0] if best and len(first) == 1 else "latin"
 
 
 @cache
@@ -94,7 +96,9 @@ def line_language(line: str) -> str:
     if _DEVANAGARI.search(line):
         return "hi"
     words = _LATIN_WORD.findall(line)
-    return latin_language([w.lower() for w in words]) if words else "none"
+    if words:
+        return latin_language([w.lower() for w in words])
+    return next((name for name, pattern in _SCRIPTS if pattern.search(line)), "none")
 
 
 def word_type(token: str) -> str:
@@ -174,6 +178,10 @@ def line_counts(line: str, counts: Counter) -> None:
                 counts[nxt[0], "quote", nxt[1], ""] += 1
         elif nxt[0] in ("cjk", "thai") or not head.islower():
             counts[nxt[0], "start", nxt[1], ""] += 1
+    for m in _ELLIPSIS.finditer(text):
+        nxt = first_key(text[m.end() :][:60], lang)
+        if nxt and nxt[0] == "cjk" and text[m.end()] not in _AFTER_END:
+            counts["cjk", "ellipsis", nxt[1], ""] += 1
     if lang != "none" or _THAI.search(text):
         tokens = _WORDS.findall(text)
         for k, token in enumerate(tokens):
@@ -235,7 +243,7 @@ def count_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 def learn_tables(stats: DataFrame, least: int = 1, min_ratio: float = 7.88) -> DataFrame:
     """(kind, lang, word) of the abbreviations, starters, continuations and followers of ordinals seen ``least`` times."""
     single = stats.where("kind <> 'pair'").groupBy("lang", F.col("word").alias("w")).agg(
-        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in ("start", "quote", "word", "dot", "mid"))
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in ("start", "quote", "word", "dot", "mid", "ellipsis"))
     )
     totals = single.groupBy("lang").agg(F.sum("n_start").alias("all_start"), F.sum("n_quote").alias("all_quote"), F.sum(F.col("n_word") + F.col("n_dot")).alias("all_words"), F.sum("n_dot").alias("all_dots"))
     known = single.join(totals, "lang")
@@ -247,6 +255,8 @@ def learn_tables(stats: DataFrame, least: int = 1, min_ratio: float = 7.88) -> D
     starter = spaced & (F.col("n_start") >= least) & (((rate > F.col("all_start") / F.col("all_words")) & (drawn > min_ratio) & (rate > 0.04)) | (rate >= 0.3))
     # every space of Thai text is counted, sentence or not: a beginning is what lines begin with not far below the average
     starter |= (F.col("lang") == "thai") & (F.col("n_start") >= max(2, least)) & (rate >= 0.4 * F.col("all_start") / F.col("all_words"))
+    # behind an ellipsis goes on what stands there more often than it begins a sentence
+    starter |= (F.col("lang") == "cjk") & (F.col("n_ellipsis") > 0) & (F.col("n_start") >= least) & (F.col("n_start") >= F.col("n_ellipsis"))
     # what follows closing quotations far more often than it begins sentences goes on with the sentence
     n = F.col("n_start") + F.col("n_quote")
     goes_on = (F.col("n_quote") >= max(2, least)) & (_log_likelihood(F.col("n_quote"), n, F.col("all_quote") / (F.col("all_quote") + F.col("all_start"))) > min_ratio) & (F.col("n_quote") / n > 0.6)
@@ -260,9 +270,9 @@ def learn_tables(stats: DataFrame, least: int = 1, min_ratio: float = 7.88) -> D
     score = affinity * F.exp(-length / 3) * (1 + F.length("word") - length) * F.pow(length, -F.col("n_word") / (1 + F.col("n_dot")))
     short = judged.where(f"n_dot >= {least} and all_words > 0").join(inside, ["lang", "word"])
     abbreviation = (F.col("n_dot") > F.col("n_word")) & (score >= 0.3) & (F.col("inside") * 5 >= F.col("followed")) & ~F.col("word").contains("#")
-    # what stands behind numbers with a period for a good part, elsewhere inside sentences, and begins none
+    # what stands behind numbers with a period for a good part, and begins no sentence: as months do behind the day
     behind = pairs.where("word = '#' and next not like '#%'").select("lang", F.col("next").alias("word"), F.col("n").alias("n_behind"))
-    ordinal = behind.join(judged.where("n_mid > 0 and n_start = 0"), ["lang", "word"]).where(f"n_behind >= {max(3, least)} and n_behind * 5 >= n_behind + n_mid").select("lang", "word")
+    ordinal = behind.join(judged.where("n_start = 0"), ["lang", "word"]).where(f"n_behind >= {max(3, least)} and n_behind * 5 >= n_behind + n_mid").select("lang", "word")
     return (
         judged.where("starter").select(F.lit("starter").alias("kind"), "lang", "word")
         .unionByName(judged.where("goes_on").select(F.lit("continuation").alias("kind"), "lang", "word"))
@@ -271,30 +281,44 @@ def learn_tables(stats: DataFrame, least: int = 1, min_ratio: float = 7.88) -> D
     )
 
 
-#: Entries of the learned tables that may be sent to the executors, about 60 bytes each.
+#: Entries of the learned tables that may be sent to the executors, about 60 bytes each; more are joined.
 MAX_ENTRIES = 1_000_000
 
 
-def learn(df: DataFrame, text_col: str = "text") -> SentenceModel:
-    """The statistics of all rows as a model small enough to send.
-
-    Where more than ``MAX_ENTRIES`` words qualify, they must have been seen twice as often, and so on until
-    they fit: the rarest, whose decisions fall to the defaults, go first.
-    """
-    stats = count_statistics(df, text_col)
-    least = 1
-    while True:
-        rows = learn_tables(stats, least).limit(MAX_ENTRIES + 1).collect()
-        if len(rows) <= MAX_ENTRIES:
-            break
-        least *= 2
+def model_of(entries: list[tuple[str, str, str]]) -> SentenceModel:
     model = SentenceModel()
     sets = {"starter": model.starters, "continuation": model.continuations, "abbreviation": model.abbreviations, "ordinal": model.ordinals}
-    for r in rows:
-        sets[r["kind"]].add((r["lang"], r["word"]))
+    for kind, lang, word in entries:
+        sets[kind].add((lang, word))
     return model
 
 
+def learn(df: DataFrame, text_col: str = "text") -> SentenceModel | DataFrame:
+    """The statistics of all rows: as a model where it is small enough to send, else as the table of its entries.
+
+    The entries are the same either way, and so are the sentences made with them.
+    """
+    tables = cut_lineage(learn_tables(count_statistics(df, text_col)))
+    if tables.count() > MAX_ENTRIES:
+        return tables
+    return model_of([tuple(r) for r in tables.select("kind", "lang", "word").collect()])
+
+
+class _Asked(set):
+    """Takes note of what it is asked for, and holds nothing."""
+
+    def __contains__(self, key: object) -> bool:
+        self.add(key)
+        return False
+
+
+def asked_for(text: str) -> set[tuple[str, str]]:
+    """All (language, word) that the sentences of a text may depend on."""
+    asked = _Asked()
+    text_sentences(text, SentenceModel(asked, asked, asked, asked))
+    return set(asked)
+
+
 _CANDIDATE = re.compile(rf"(?P<marks>[{re.escape(FULL_STOPS)}…]*[{re.escape(FULL_STOPS)}][{re.escape(FULL_STOPS)}…]*|(?<!\.)\.(?!\.)|\.{{2,}}|…+)(?P<close>(?:[ \xa0 ]?»|[{re.escape(CLOSERS)}])*)")
 
 
@@ -337,8 +361,8 @@ def sentence_ends(line: str, model: SentenceModel) -> list[int]:
             if head.islower() or (not gap and kind == "spaced"):
                 continue
             if dots and not close:
-                # an ellipsis goes on unless something that begins sentences stands behind a space
-                if gap and starts and kind == "spaced" and not head.islower():
+                # an ellipsis goes on unless something that begins sentences stands behind it, and a space where words have them
+                if starts and (kind == "cjk" or gap and kind == "spaced" and not head.islower()):
                     ends.append(end)
                 continue
             before = _LAST_TOKEN.search(line[: m.start() + len(marks)])
@@ -352,7 +376,7 @@ def sentence_ends(line: str, model: SentenceModel) -> list[int]:
                 if (where, word) in model.abbreviations:
                     if kind == "digit" or not starts and kind == "spaced":
                         continue
-                elif number and (kind == "digit" or not opens and (nxt in model.ordinals or nxt[1] in MONTHS)):
+                elif number and (kind == "digit" or not opens and nxt in model.ordinals):
                     continue
                 elif kind == "digit" and len(word) <= 3:
                     continue
@@ -398,24 +422,57 @@ def text_sentences(text: str, model: SentenceModel) -> list[tuple[int, int]]:
     return out
 
 
+def _rows(ident, text: str, model: SentenceModel) -> Iterator[tuple]:
+    for k, (s, e) in enumerate(text_sentences(text, model)):
+        yield ident, k, s, e, text[s:e]
+
+
+_SENTENCE = ["id", "sentence_no", "start_pos", "end_pos", "sentence"]
+
+
 def _apply(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, s, e, t[s:e]) for i, t in zip(pdf["id"], pdf["text"]) if t for k, (s, e) in enumerate(text_sentences(t, model.value))]
+            rows = [row for i, t in zip(pdf["id"], pdf["text"]) if t for row in _rows(i, t, model.value)]
             if rows:
-                yield pd.DataFrame(rows, columns=["id", "sentence_no", "start_pos", "end_pos", "sentence"])
+                yield pd.DataFrame(rows, columns=_SENTENCE)
 
     return run
 
 
-def split_sentences(df: DataFrame, model: SentenceModel, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(key, *k) for key, t in zip(pdf["key"], pdf["text"]) if t for k in asked_for(t)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "lang", "word"])
+
+
+def _apply_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for i, t, entries in zip(pdf["id"], pdf["text"], pdf["entries"]):
+            if t:
+                rows += _rows(i, t, model_of([] if entries is None else [(e["kind"], e["lang"], e["word"]) for e in entries]))
+        if rows:
+            yield pd.DataFrame(rows, columns=_SENTENCE)
+
+
+def split_sentences(df: DataFrame, model: SentenceModel | DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(id, sentence_no, start_pos, end_pos, sentence) of every row, positions in characters of the text.
 
     A null, empty or blank text gives no sentence; a text without any mark gives one for each line; rows
-    stored twice give their sentences twice. No shuffle.
+    stored twice give their sentences twice. With a model there is no shuffle; with a table of entries each text is
+    joined with those it asks for.
     """
     kind = df.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(carried(F.col(id_col), kind).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(_apply(sent), f"id {carried_type(kind)}, sentence_no int, start_pos int, end_pos int, sentence string")
+    schema = f"id {carried_type(kind)}, sentence_no int, start_pos int, end_pos int, sentence string"
+    if isinstance(model, SentenceModel):
+        sent = df.sparkSession.sparkContext.broadcast(model)
+        out = rows.mapInPandas(_apply(sent), schema)
+    else:
+        rows = rows.withColumn("key", F.sha2("text", 256))
+        asked = rows.select("key", "text").mapInPandas(_ask, "key string, lang string, word string").distinct()
+        own = asked.join(model, ["lang", "word"]).groupBy("key").agg(F.collect_set(F.struct("kind", "lang", "word")).alias("entries"))
+        out = rows.join(own, "key", "left").select("id", "text", "entries").mapInPandas(_apply_own, schema)
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col.split(".")[-1])

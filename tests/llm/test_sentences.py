@@ -2,7 +2,8 @@
 
 import pytest
 
-from docloom.llm.sentences import learn, split_sentences, text_sentences
+import docloom.llm.sentences as module
+from docloom.llm.sentences import SentenceModel, learn, split_sentences, text_sentences
 
 EN = ["The office opens at nine. The clerk reads the file.", "The board met on Monday. Bring the form before 5 p.m. on weekdays.", "Costs rose, i.e. by about 4 percent. The file of Dr. Quill is closed.", "See Sec. 4 of the plan. The desk is open until 6 p.m. on Fridays.", "Dr. Quill signed the form. The office agreed. Bring the copy."]
 DE = ["Der Schaden vom 3. März betrifft z. B. Sturz und Brand. Der Antrag bleibt offen.", "Nach Abs. 5 Nr. 4 zahlt die Stelle ca. 20 Taler. Danach gilt Satz 3.", "Der Beitrag steigt bis zum 34. Danach gilt Satz 38. Der Rest bleibt.", "Danach prüft die Stelle den Antrag. Der Fall vom 9. März ist offen."]
@@ -52,6 +53,42 @@ def test_lines_and_padding(model):
     assert text_sentences("", model) == [] and text_sentences(" \n　", model) == []
 
 
+def test_ellipses_end_before_what_begins_sentences(spark):
+    rows = ["这……恐怕要等。客服没有解释。", "合同的金额……客服没有解释。", "客服提交了单据。客服离开了。", "合同的期限……\n客服没有解释。"] * 6
+    model = learn(spark.createDataFrame([(t,) for t in rows], "text string"))
+    assert cut("合同的保费……客服没有解释。", model) == ["合同的保费……", "客服没有解释。"]
+    assert cut("这……恐怕要等。", model) == ["这……恐怕要等。"]
+
+
+def test_ordinals_are_learned(model):
+    assert ("de", "März") in model.ordinals and not {("de", "Danach"), ("de", "Der")} & model.ordinals
+
+
+def test_scripts_without_word_lists(spark):
+    ru = ["Договор подписан в г. Москве. Страховщик платит.", "Офис в г. Казани открыт. Клиент ждёт.", "Страховщик платит. Клиент ждёт ответа в г. Туле."] * 8
+    model = learn(spark.createDataFrame([(t,) for t in ru], "text string"))
+    assert ("cyrillic", "г") in model.abbreviations
+    assert cut("Клиент ждёт в г. Твери. Страховщик платит.", model) == ["Клиент ждёт в г. Твери.", "Страховщик платит."]
+
+
+def test_a_model_too_large_to_send_decides_alike(spark, monkeypatch):
+    rows = [(str(k), t) for k, t in enumerate(t for part in (EN, DE, ZH, TH) for t in part * 6)] + [("n", None), ("e", ""), (None, EN[0])]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    sent = learn(df)
+    assert isinstance(sent, SentenceModel)
+    want = sorted(map(str, split_sentences(df, sent).collect()))
+    monkeypatch.setattr(module, "MAX_ENTRIES", 0)
+    joined = learn(df)
+    assert not isinstance(joined, SentenceModel)
+    assert sorted(map(str, split_sentences(df, joined).collect())) == want
+
+
+def test_old_texts_are_cut_alike_in_a_larger_corpus(spark):
+    texts = [t for part in (EN, DE, ZH, TH) for t in part]
+    small, large = (learn(spark.createDataFrame([(t,) for t in texts * n], "text string")) for n in (12, 24))
+    assert [cut(t, small) for t in texts] == [cut(t, large) for t in texts]
+
+
 def test_units_cover_the_text(model):
     for text in EN + DE + ZH + TH:
         got = text_sentences(text, model)
