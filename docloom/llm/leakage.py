@@ -70,12 +70,24 @@ class ItemIndex:
         found: set[tuple[int, int]] = set()
         for k in np.flatnonzero(right > left):
             found.update((int(owner[k]), int(i)) for i in self.owner[left[k] : right[k]])
+        held: dict[int, int] = {}
+        last = -1
         for doc, item in sorted(found):
-            text, wanted = norm[doc], self.texts[item]
-            parts = [wanted[s : s + self.window] for s in range(len(wanted) - self.window + 1)]
-            shared = sum(p in text for p in parts)
+            if doc != last:
+                text, last = norm[doc], doc
+                hashes = rolling_hashes(code_points(text), self.window)
+                # of equal hashes the first place; the characters there are compared below
+                held = dict(zip(hashes[::-1].tolist(), range(len(hashes) - 1, -1, -1)))
+            wanted = self.texts[item]
+            own = rolling_hashes(code_points(wanted), self.window).tolist()
+            shared = 0
+            for s, h in enumerate(own):
+                at = held.get(h)
+                if at is not None:
+                    part = wanted[s : s + self.window]
+                    shared += text.startswith(part, at) or part in text
             if shared:
-                yield doc, item, shared, len(parts)
+                yield doc, item, shared, len(own)
 
 
 def _search(index):

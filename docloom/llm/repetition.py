@@ -1,8 +1,9 @@
 """Repetition inside single documents, by suffix arrays.
 
 Suffixes of a block of texts are ranked by prefix doubling. A first pass stops at the window length: texts
-without any two equal windows are done. For the others the suffix array is completed, neighbouring suffixes
-give the longest-common-prefix intervals, and the spans of their repeated prefixes are united.
+without any two equal windows are done. For the others the suffix array is completed, and neighbouring suffixes
+give the longest-common-prefix intervals: each interval of the window's depth holds the places of one repeated
+substring, and the spans of all its places but the first are united.
 """
 
 from __future__ import annotations
@@ -57,52 +58,67 @@ def window_ranks(letters: np.ndarray, window: int) -> np.ndarray:
     return rank
 
 
-def later_windows(letters: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
-    """Starts of the windows inside one text that equal a window starting earlier in the same text."""
-    ends = np.cumsum(sizes)
+def repeats_windows(letters: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Of each text, whether two of its windows are equal."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    starts = np.arange(len(letters))
-    valid = starts + window <= np.repeat(ends, sizes)
-    if not valid.any():
-        return np.zeros(0, np.int64)
-    # sorted by rank, then start; texts follow one another, so a text's windows stay together
-    key = np.sort((window_ranks(letters, window)[valid].astype(np.uint64) << np.uint64(32)) | starts[valid].astype(np.uint64))
-    rank, start = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    same = (rank[1:] == rank[:-1]) & (doc[start[1:]] == doc[start[:-1]])
-    return start[1:][same]
-
-
-def suffix_intervals(letters: np.ndarray, window: int) -> tuple[int, int]:
-    """Longest repeated substring, and number of maximal repeated substrings of at least ``window`` letters.
-
-    The suffix array is made by doubling until all ranks differ; the ranks of every doubling give the
-    longest common prefix of neighbouring suffixes. Each local maximum of a run of common prefixes of
-    ``window`` letters or more is one interval of suffixes that share a prefix no wider set shares.
+    valid = np.arange(len(letters)) + window <= np.repeat(np.cumsum(sizes), sizes)
+    out = np.zeros(len(sizes), bool)
+    # a rank and a text each as one number: what comes twice is a repetition inside a text
+    key = np.sort((window_ranks(letters, window)[valid].astype(np.uint64) << np.uint64(32)) | doc[valid].astype(np.uint64))
+    out[(key[1:][key[1:] == key[:-1]] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    return out
+
+
+def suffix_array(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the longest common prefix of each with the one before (0 for the first).
+
+    Prefix doubling until all ranks differ; the ranks of every doubling give the common prefixes. Takes about
+    four bytes for each letter and doubling.
     """
     n = len(letters)
-    if n < 2:
-        return 0, 0
-    levels = [_ranks(letters.astype(np.uint64))]
+    levels = [_ranks(letters.astype(np.uint64)).astype(np.int32)]
     step = 1
     while levels[-1].max() < n and step < n:
-        levels.append(_joined(levels[-1], _shift(levels[-1], step)))
+        levels.append(_joined(levels[-1], _shift(levels[-1], step)).astype(np.int32))
         step *= 2
     order = np.argsort(levels[-1], kind="stable")
     left, right = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(n - 1, np.int64)
+    lcp = np.zeros(n, np.int64)
     for level in range(len(levels) - 1, -1, -1):
         inside = (left < n) & (right < n)
         same = np.zeros(n - 1, bool)
         same[inside] = levels[level][left[inside]] == levels[level][right[inside]]
         # behind the end a shorter suffix counts as filled with zeros; equal ranks then would overstate
         same &= (np.maximum(left, right) + (1 << level)) <= n
-        lcp[same] += 1 << level
+        lcp[1:][same] += 1 << level
         left[same] += 1 << level
         right[same] += 1 << level
-    longest = int(lcp.max(initial=0))
-    # an interval opens wherever the common prefix rises to a depth of the window or more
-    opens = (lcp >= window) & (lcp > np.concatenate(([0], lcp[:-1])))
-    return longest, int(opens.sum())
+    return order, lcp
+
+
+def suffix_intervals(letters: np.ndarray, window: int) -> tuple[int, int, int]:
+    """(repeated letters, longest repeated substring, maximal repeated substrings of at least ``window`` letters).
+
+    A run of common prefixes of the window's length or more is an interval of suffixes that begin with the same
+    window: all its places but the first are repetitions, and the spans of these windows are united. Within it, each
+    rise of the common prefix opens an interval of suffixes that share a prefix no wider set shares.
+    """
+    n = len(letters)
+    if n < 2:
+        return 0, 0, 0
+    order, lcp = suffix_array(letters)
+    deep = lcp >= window
+    starts = np.flatnonzero(~deep)
+    first = np.minimum.reduceat(order, starts)
+    interval = np.cumsum(~deep) - 1
+    later = order[order != first[interval]]
+    # union of the spans [start, start + window): marks of begins and ends, summed up
+    edge = np.zeros(n + window + 1, np.int32)
+    np.add.at(edge, later, 1)
+    np.add.at(edge, later + window, -1)
+    covered = int((np.cumsum(edge)[:n] > 0).sum())
+    opens = deep & (lcp > np.concatenate(([0], lcp[:-1])))
+    return covered, int(lcp.max(initial=0)), int(opens.sum())
 
 
 def repetition(texts: list[str | None], window: int) -> list[tuple[int, int, int, int]]:
@@ -114,18 +130,12 @@ def repetition(texts: list[str | None], window: int) -> list[tuple[int, int, int
     rows = [t or "" for t in texts]
     for first, last in blocks([len(t) for t in rows], _BLOCK):
         letters, sizes = kept(rows[first:last], "L")
-        later = later_windows(letters, sizes, window)
-        # union of the spans [start, start + window): marks of begins and ends, summed up
-        edge = np.zeros(len(letters) + window + 1, np.int32)
-        np.add.at(edge, later, 1)
-        np.add.at(edge, later + window, -1)
-        covered = np.cumsum(edge)[: len(letters)] > 0
-        ends = np.cumsum(sizes)
-        total = np.concatenate(([0], np.cumsum(covered)))
-        repeated = total[ends] - total[ends - sizes]
-        for k, (n, r, e) in enumerate(zip(sizes.tolist(), repeated.tolist(), ends.tolist())):
-            longest, spans = suffix_intervals(letters[e - n : e], window) if r else (0, 0)
-            out[first + k] = (n, r, longest, spans)
+        again = repeats_windows(letters, sizes, window)
+        ends = np.cumsum(sizes).tolist()
+        for k, (n, e) in enumerate(zip(sizes.tolist(), ends)):
+            # the letters in no repeated window have no part in what follows
+            covered, longest, spans = suffix_intervals(letters[e - n : e], window) if again[k] else (0, 0, 0)
+            out[first + k] = (n, covered, longest, spans)
     return out
 
 
