@@ -9,56 +9,29 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import cleaning, embedding, extraction, generation, retrieval, structure, terminology
-from docloom.profiles import HEADING, LIST_ITEM, RE2_SPACE, SPECIAL_LINE, ZH, any_of, re2
+from docloom.plans import chunk_sql as sql
+from docloom.profiles import HEADING, LIST_ITEM, RE2_SPACE, SPECIAL_LINE, ZH, re2
 from docloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     """Register a query under its function's name, with its SQL if there is any."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
+        if text is not None:
+            ORACLE[f.__name__] = text
         return f
 
     return add
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '\\A[{RE2_SPACE}]+|[{RE2_SPACE}]+\\z', '', 'g')"
-
-
-def _rstrip(x: str) -> str:
-    return f"regexp_replace({x}, '[{RE2_SPACE}]+\\z', '', 'g')"
-
-
+_quote, _strip, _rstrip, _sentences, _class_case, _triggers = sql.quote, sql.strip, sql.rstrip, sql.sentences, sql.class_case, sql.triggers
 _LINES = "string_split(text, chr(10))"
-_PAGE = _quote(re2(any_of([p.replace("$", r"\z") for p in ZH.page_patterns])))
-_BOILER = _quote(any_of(ZH.boilerplate))
-_STOPS = ZH.terminators
-
-
-def _sentences(x: str) -> str:
-    cut = f"list_filter(list_transform(regexp_extract_all(l, '[^{_STOPS}]*[{_STOPS}]|[^{_STOPS}]+'), lambda s: {_strip('s')}), lambda s: s <> '')"
-    return f"flatten(list_transform(string_split({x}, chr(10)), lambda l: CASE WHEN {_strip('l')} = '' THEN [l] ELSE {cut} END))"
-
-
-def _class_case(x: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({x}, {_quote(re2(any_of(ps)))}) THEN {_quote(name)}" for name, ps in ZH.classes)
-    return f"CASE WHEN {x} IS NULL THEN NULL {whens} ELSE {_quote(ZH.other)} END"
-
-
-def _triggers(x: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({x}, {_quote(re2(p))}) THEN regexp_extract_all({x}, {_quote(re2(p))})" for _, ps in ZH.classes for p in ps)
-    return f"CASE {whens} ELSE []::VARCHAR[] END"
+_PAGE, _BOILER, _STOPS = sql.PAGE, sql.BOILER, sql.STOPS
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -117,9 +90,13 @@ def merge_broken_lines(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", cleaning.join_broken_lines(F.col("text")).alias("text"))
 
 
-@query()
+_CHUNK_TEXTS = "WITH one AS (SELECT DISTINCT chunk_id AS id, text FROM test_semantic_chunks WHERE text IS NOT NULL),"
+_DOC_TEXTS = "(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(_CHUNK_TEXTS + sql.cleaned("one") + " SELECT id AS chunk_id, text FROM cleaned")
 def basic_clean(spark, d):
-    return _chunks(spark, d).select("chunk_id", cleaning.basic_clean(F.col("text")).alias("text"))
+    return _chunks(spark, d).where("text is not null").select("chunk_id", "text").distinct().select("chunk_id", cleaning.basic_clean(F.col("text")).alias("text"))
 
 
 @query(f"SELECT chunk_id, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS sentence FROM (SELECT chunk_id, {_sentences('text')} AS ss FROM test_semantic_chunks WHERE text IS NOT NULL)")
@@ -154,7 +131,13 @@ def repetitive_sentences(spark, d):
     return _denoised(spark, d).where("repeats >= 3").select("source_file", X.strip(F.col("sentence")).alias("sentence"), F.col("repeats").alias("times")).distinct()
 
 
-@query()
+@query(
+    "WITH one AS " + _DOC_TEXTS + "," + sql.cleaned("one") + f""",
+    s AS (SELECT id, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS sentence FROM (SELECT id, {_sentences('text')} AS ss FROM cleaned)),
+    c AS (SELECT *, {_strip('sentence')} AS key, count(*) OVER (PARTITION BY id, {_strip('sentence')}) AS n FROM s),
+    r AS (SELECT *, CASE WHEN key = '' THEN '' WHEN regexp_matches(key, {_BOILER}) THEN 'boilerplate' WHEN n >= 3 THEN 'repetitive' ELSE '' END AS reason FROM c)
+    SELECT id AS doc_id, pos::INT AS pos, sentence, CASE WHEN key <> '' AND n >= 3 THEN n ELSE 0 END AS repeats, reason, reason <> '' AS skip_embedding FROM r"""
+)
 def clean_and_split(spark, d):
     return cleaning.clean_and_split(table(spark, d, "documents"), "doc_id")
 
@@ -172,7 +155,11 @@ def headings(spark, d):
     return rows.where(X.heading_level(F.col("line")) > 0).select("chunk_id", "pos", X.heading_level(F.col("line")).alias("level"), X.heading_title(F.col("line")).alias("title"))
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT chunk_id, list_filter(list_transform({_LINES}, lambda x: {{'l': length(regexp_extract({_strip('x')}, {_quote(re2(HEADING))}, 1)), 't': regexp_extract({_strip('x')}, {_quote(re2(HEADING))}, 2)}}), lambda h: h.l > 0) AS hs FROM test_semantic_chunks WHERE text IS NOT NULL),
+    p AS (SELECT chunk_id, list_reduce(hs, lambda a, x: {{'path': a.path[1 : x.l - 1] || [x.t], 'o': a.o || [a.path[1 : x.l - 1] || [x.t]]}}, {{'path': []::VARCHAR[], 'o': []::VARCHAR[][]}}).o AS paths FROM h)
+    SELECT chunk_id, (generate_subscripts(paths, 1) - 1)::INT AS heading_no, array_to_string(unnest(paths), ' > ') AS section_path FROM p WHERE len(paths) > 0"""
+)
 def heading_stack(spark, d):
     """Section paths after each heading of each text."""
     ls = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(X.heading_level(x).alias("level"), X.heading_title(x).alias("title"))), lambda h: h["level"] > 0)
@@ -191,9 +178,10 @@ def markdown_marks(spark, d):
     return _chunks(spark, d).where("text is not null").select("chunk_id", n(X.is_list_item).alias("list_lines"), n(X.starts_table).alias("table_starts"), n(X.ends_table).alias("table_ends"), F.array_join(X.image_refs(F.col("text")), "|").alias("images"))
 
 
-@query()
+@query(_CHUNK_TEXTS + sql.blocks("one") + """
+    SELECT id AS chunk_id, block_no::INT AS block_no, kind AS type, content, CASE WHEN kind = 'heading' THEN level END::INT AS level, title, array_to_string(path, ' > ') AS section_path, CASE WHEN kind <> 'heading' THEN level END::INT AS heading_level, line::INT AS line_num FROM blocks""")
 def markdown_blocks(spark, d):
-    return structure.blocks(_chunks(spark, d).dropDuplicates(["chunk_id"]), "chunk_id")
+    return structure.blocks(_chunks(spark, d).dropDuplicates(["chunk_id"]), "chunk_id").withColumn("section_path", F.array_join("section_path", " > "))
 
 
 @query(f"SELECT chunk_id, {_class_case('text')} AS semantic_type, array_to_string({_triggers('text')}, '|') AS trigger_words FROM test_semantic_chunks WHERE text IS NOT NULL")
@@ -224,7 +212,7 @@ def fixed_width_split(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.fixed_slices(F.col("text"), 500)).alias("piece_no", "piece"))
 
 
-@query()
+@query("WITH one AS " + _DOC_TEXTS + "," + sql.pieces("one", 500) + " SELECT id AS doc_id, piece_no::INT AS piece_no, text AS piece FROM pieces")
 def long_atom_split(spark, d):
     return structure.long_pieces(table(spark, d, "documents"), "doc_id", longest=500)
 
@@ -247,9 +235,13 @@ def embedding_text(spark, d):
     return _chunks(spark, d).select("chunk_id", X.embedding_text(F.col("sentence_infos"), F.col("text"), F.col("metadata.skip_embedding")).alias("embedding_text"))
 
 
-@query()
+@query(sql.chunks(_DOC_TEXTS))
 def chunk_documents(spark, d):
-    return structure.chunks(table(spark, d, "documents"), "doc_id")
+    """All of a chunk's fields, arrays joined."""
+    made = structure.chunks(table(spark, d, "documents"), "doc_id")
+    infos = F.array_join(F.transform("sentence_infos", lambda s: F.concat(s["text"], F.lit("\1"), s["reason"])), "\2")
+    joined = {c: F.coalesce(F.array_join(c, "|"), F.lit("")) for c in ("image_refs", "trigger_words", "key_terms")}
+    return made.withColumns({**joined, "section_path": F.array_join("section_path", " > "), "sentence_infos": infos, "clause_number": F.coalesce("clause_number", F.lit(""))})
 
 
 @query(

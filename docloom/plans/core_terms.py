@@ -46,7 +46,20 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["chunk_id", "piece_no"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_counts, p4_pairs, p7_found, p7_pieces)}
+def p7_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each oversized chunk the text that its pieces' own parts make, whether all fit, and whether neighbours share just the overlap."""
+    rows = p7_pieces(spark, sf_dir).join(table(spark, sf_dir, "test_semantic_chunks").select("chunk_id", F.col("metadata.chunk_type").alias("chunk_type")).distinct(), "chunk_id")
+    rows = rows.join(table(spark, sf_dir, "split_limit"), "chunk_type")
+    own = F.expr("substring(piece, overlap + 1, length(piece))")
+    parts = rows.groupBy("chunk_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"),
+        F.bool_and(F.length("piece") <= F.col("max_chars")).alias("within_limit"),
+        F.bool_and(F.col("overlap") == F.when(F.col("piece_no") == 0, 0).otherwise(F.least("overlap_chars", F.col("start_pos") + F.col("overlap")))).alias("overlaps"),
+    )
+    return parts.select("chunk_id", F.array_join(F.transform("parts", lambda p: p["own"]), "").alias("text"), "within_limit", "overlaps")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_counts, p4_pairs, p7_found, p7_pieces, p7_rejoined)}
 
 _TERMS = """
 terms AS (
@@ -64,5 +77,13 @@ _ONE = "WITH one AS (SELECT DISTINCT ON (chunk_id) chunk_id, metadata FROM test_
 ORACLE: dict[str, str] = {
     "p4_found": _ONE + _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_counts": _ONE + _TERMS + "SELECT field, term, occurrences, records, coalesce(mark, '') AS mark FROM marked",
+    "p4_pairs": _ONE
+    + """
+      lists AS (
+        SELECT chunk_id, field, list_filter(list_transform(ts, lambda t: regexp_replace(t, '^[ 　]+|[ 　]+$', '', 'g')), lambda t: t IS NOT NULL AND t <> '') AS ts
+        FROM (SELECT chunk_id, 'key_terms' AS field, metadata.key_terms AS ts FROM one UNION ALL SELECT chunk_id, 'trigger_words', metadata.trigger_words FROM one)),
+      pairs AS (SELECT chunk_id, field, ts, unnest(range(1, len(ts))) AS i FROM lists)
+      SELECT field, ts[i] AS first, ts[i + 1] AS second, count(*) AS occurrences, count(DISTINCT chunk_id) AS records FROM pairs GROUP BY ALL""",
+    "p7_rejoined": "SELECT DISTINCT chunk_id, text, true AS within_limit, true AS overlaps FROM test_semantic_chunks c JOIN split_limit l ON c.metadata.chunk_type = l.chunk_type WHERE length(c.text) > l.max_chars",
     "p7_found": "SELECT DISTINCT chunk_id FROM test_semantic_chunks c JOIN split_limit l ON c.metadata.chunk_type = l.chunk_type WHERE length(c.text) > l.max_chars",
 }
