@@ -126,12 +126,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_cleaned, p1_clusters, p2_found, p2_sentences, p3_found, p3_repaired, p5_found, p5_shares, p6_found, p6_clean, p8_found, p8_containment, p9_report, p9_mixture, p9_tempered, p10_found, p10_shares, p10_spans, p10_groups)
 }
 
+_WIDE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Windows of 200 characters that stand in several documents.
 _WINDOWS = """WITH one AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
       windows AS (SELECT doc_id, pos, md5(substring(text, pos + 1, 200)) AS passage FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS pos FROM one)),
       several AS (SELECT passage FROM windows GROUP BY passage HAVING min(doc_id) <> max(doc_id)),
       places AS (SELECT doc_id, pos, passage FROM windows JOIN several USING (passage))"""
 
+#: NFKC as far as letters and digits of these tables have compatible forms: full-width ones, and the Thai vowel that is two.
+_NFKC = "replace(translate(text, '" + "".join(chr(0xFEE0 + ord(c)) for c in _WIDE) + f"', '{_WIDE}'), chr(3635), chr(3634))"
+_NORMALISED = f"""WITH docs AS (SELECT DISTINCT doc_id, regexp_replace(lower({_NFKC}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+      items AS (SELECT DISTINCT item_id, regexp_replace(lower({_NFKC}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM benchmark WHERE text IS NOT NULL),
+      item_windows AS (SELECT item_id, pos, substring(t, pos, 40) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS pos FROM items)),
+      doc_windows AS (SELECT doc_id, substring(t, pos, 40) AS w FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS pos FROM docs))"""
+
 ORACLE: dict[str, str] = {
     "p1_found": r"""
       WITH lines AS (
@@ -143,6 +151,18 @@ ORACLE: dict[str, str] = {
       repeated AS (
         SELECT source, key FROM keyed WHERE regexp_matches(key, '[\p{L}\p{N}]') GROUP BY ALL HAVING count(DISTINCT chunk_id) >= 5)
       SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM keyed JOIN repeated USING (source, key)""",
+    "p5_found": r"""
+      WITH one AS (SELECT DISTINCT chunk_id, regexp_replace(text, '[^\p{L}]', '', 'g') AS letters FROM test_semantic_chunks WHERE text IS NOT NULL),
+      windows AS (SELECT chunk_id, length(letters) AS n, i, substring(letters, i, 20) AS w FROM (SELECT chunk_id, letters, unnest(range(1, length(letters) - 18)) AS i FROM one)),
+      later AS (SELECT chunk_id, n, i FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, w ORDER BY i) AS k FROM windows) WHERE k > 1),
+      own AS (SELECT chunk_id, n, least(20, coalesce(lead(i) OVER (PARTITION BY chunk_id ORDER BY i) - i, 20)) AS letters FROM later)
+      SELECT chunk_id FROM own GROUP BY chunk_id, n HAVING sum(letters) * 10 >= n * 3""",
+    "p8_found": _NORMALISED + """
+      SELECT DISTINCT d.doc_id, i.item_id FROM doc_windows d JOIN item_windows i USING (w)""",
+    "p8_containment": _NORMALISED + """,
+      shared AS (SELECT doc_id, i.item_id, i.pos FROM item_windows i JOIN (SELECT DISTINCT doc_id, w FROM doc_windows) d USING (w)),
+      held AS (SELECT item_id, count(*) AS item_windows FROM item_windows GROUP BY item_id)
+      SELECT doc_id, item_id, count(*)::INT AS shared_windows, item_windows::INT AS item_windows, count(*) / item_windows::DOUBLE AS containment FROM shared JOIN held USING (item_id) GROUP BY doc_id, item_id, item_windows""",
     "p10_found": _WINDOWS + """
       SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM places a JOIN places b USING (passage) WHERE a.doc_id < b.doc_id""",
     "p10_spans": _WINDOWS + """,
