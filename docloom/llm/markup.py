@@ -1,9 +1,11 @@
 """Markup residue: flat text blocks classified by decision trees, and texts cleaned with their structure kept.
 
 A text is cut into flat blocks (lines). Each block has its number of words, its link density, counts of marks
-of each kind of markup, certain and doubtful ones, and the same of its neighbours. Trees grown on
+of each kind of markup (certain ones, list marks, doubtful ones), and the same of its neighbours. Trees grown on
 the small labelled table below read these numbers: one for each kind says whether a block's marks are markup
-at all (a star may multiply, a bracket may hold a note), one gives the block's role. Cleaning goes by role.
+at all (a star may multiply, a bracket may hold a note, a dash may open speech), one gives the block's role, and one
+tells the page's frame from its content by words and link density of the block and its neighbours alone.
+Cleaning goes by role, and leaves out linked blocks of the frame.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]
 _MD_CERTAIN = re.compile(
     r"""(?m)^\ {0,3}\#{1,6}[ \t]+\S | !\[[^\[\]\n]*\]\([^()\s]+\) | (?<!!)\[[^\[\]\n]+\]\((?:[^()\s]|\([^()\s]*\))+(?:\ "[^"\n]*")?\) | \*\*(?=\S)[^*\n]+?(?<=\S)\*\*
         | (?<![\w_])__(?=\S)[^_\n]+?(?<=\S)__(?![\w_]) | ~~(?=\S)[^~\n]+?(?<=\S)~~ | (?<!`)`[^`\n]+`(?!`) | ^\ {0,3}(?:```|~~~) | ^\ {0,3}>\ (?=\S)
-        | ^\s*[-+]\ (?=\S) | ^\s*\*\ (?=\S) | ^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$""",
+        | ^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$""",
     re.X,
 )
+#: List marks: they are markup in lists, and anything else where they are alone.
+_MD_LISTED = re.compile(r"^\s*[-+*] (?=\S)")
 _MD_ORDERED = re.compile(r"^\s*\d{1,3}[.)] (?=\S)")
 _MD_ROW = re.compile(r"^\s*\|(?![-}|]).*\|\s*$")
 _MD_UNDER = re.compile(r"^\s{0,3}(?:={3,}|-{3,})\s*$")
@@ -46,8 +50,9 @@ _LATEX_CERTAIN = re.compile(rf"\\(?:begin|end)\{{[A-Za-z*]+\}}|(?<![\w:\\])\\(?:
 _LATEX_DOUBT = re.compile(r"\\[A-Za-z]+|\\[%&#_]|\\\\|\$[^$\n]+\$")
 _HTML_DOUBT = re.compile(r"<[^<>\n]{1,40}>|&[A-Za-z]+")
 _WIKI_DOUBT = re.compile(r"''|\[[^\[\]\n]+\]|\{[^{}\n]+\}")
-_LINKED = re.compile(r"(?i)<a\b[^<>]*>(.*?)</a>|\[([^\[\]\n]+)\]\([^()\s]+\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]+)\]\]")
+_LINKED = re.compile(r"(?i)<a\b[^<>]*>(.*?)</a>|(?<!!)\[([^\[\]\n]+)\]\([^()\s]+\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]+)\]\]")
 _WORD = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+")
+_STOP = re.compile(r"[。！？；]|[.!?](?=\s|$|\[)")
 _CRUMB = re.compile(r"\s(?:>|›|»|·|\|)\s")
 
 
@@ -55,17 +60,17 @@ def _references(text: str) -> int:
     return sum(1 for m in _REFERENCE.finditer(text) if m[0][1] == "#" or m[0][1:] in html5)
 
 
-def marks(line: str, before: str) -> dict[str, tuple[int, int]]:
-    """(certain, doubtful) marks of each kind in a line; ``before`` is the line above."""
+def marks(line: str, before: str) -> dict[str, tuple[int, int, int]]:
+    """(certain, list, doubtful) marks of each kind in a line; ``before`` is the line above."""
     n_html = len(_TAG.findall(line)) + len(_COMMENT.findall(line)) + _references(line)
     n_md = sum(1 for _ in _MD_CERTAIN.finditer(line)) + bool(_MD_UNDER.match(line) and before.strip() and not _MD_UNDER.match(before))
     n_wiki = sum(1 for _ in _WIKI_CERTAIN.finditer(line))
     n_latex = sum(1 for _ in _LATEX_CERTAIN.finditer(line))
     return {
-        "html": (n_html, len(_HTML_DOUBT.findall(line))),
-        "markdown": (n_md, bool(_MD_ORDERED.match(line)) + bool(_MD_ROW.match(line)) + len(_MD_STAR.findall(line))),
-        "wiki": (n_wiki, bool(_WIKI_CELL.match(line)) + len(_WIKI_DOUBT.findall(line))),
-        "latex": (n_latex, len(_LATEX_DOUBT.findall(line))),
+        "html": (n_html, 0, len(_HTML_DOUBT.findall(line))),
+        "markdown": (n_md, int(_MD_LISTED.match(line) is not None), bool(_MD_ORDERED.match(line)) + bool(_MD_ROW.match(line)) + len(_MD_STAR.findall(line))),
+        "wiki": (n_wiki, 0, bool(_WIKI_CELL.match(line)) + len(_WIKI_DOUBT.findall(line))),
+        "latex": (n_latex, 0, len(_LATEX_DOUBT.findall(line))),
     }
 
 
@@ -86,9 +91,14 @@ class Blocks:
         return k if 0 <= k < len(self.lines) else None
 
     def kind_row(self, k: int, kind: str) -> list[float]:
-        certain, doubtful = self.marks[k][kind]
-        near = [self.marks[j][kind] if (j := self._near(k, s)) is not None else (0, 0) for s in (-1, 1)]
-        return [certain, doubtful, near[0][0] + near[1][0], near[0][1] + near[1][1], self.words[k], self.linked[k]]
+        around = [j for s in (-1, 1) if (j := self._near(k, s)) is not None]
+        near = [sum(self.marks[j][kind][f] for j in around) for f in range(3)]
+        return [*self.marks[k][kind], *near, self.words[k], self.linked[k], max((self.words[j] for j in around), default=0), max((self.linked[j] for j in around), default=0)]
+
+    def frame_row(self, k: int) -> list[float]:
+        """Words, link density and sentence stops of the block, words and link density of the ones before and after it; none counts as nothing."""
+        around = [self._near(k, s) for s in (-1, 1)]
+        return [self.words[k], self.linked[k], len(_STOP.findall(self.lines[k])), *(f[j] if j is not None else 0 for j in around for f in (self.words, self.linked))]
 
     def role_row(self, k: int) -> list[float]:
         line = self.lines[k]
@@ -142,25 +152,46 @@ LABELLED = [
     ["wiki text|[[fee]] due", "- text|it's 'so' said"],
     ["html text|fee<br>", "markdown text|**fee**", "latex formula|$a_1 = 2$"],
     ["- heading|Questions on fees", "- text|The office has answered all of the letters of the last week."],
+    # dashes and stars that open no list
+    ["- text|The clerk looked up from the file on the desk of the office.", "- text|- Yes, the form is here, she said and went on with the letters.", "- text|The visitor left the hall of the office without another word."],
+    ["- text|The sum of the year is carried over to the next page of it.", "- text|- 12 of the fee was paid back in the course of the last month."],
+    ["- text|The amounts of the table are those of the year before.", "- text|* subject to the rules of the board that hold for this year"],
+    ["- text|- No.", "- text|The clerk closed the window of the office for the rest of the day."],
+    ["- text|Three things are asked of each person who comes to the office:", "markdown list|- a paper", "markdown list|- a copy of it", "markdown list|- the fee", "- text|They are handed in at the window of the office in the hall."],
+    ["- text|What to bring:", "markdown list|* the signed form of the year before", "markdown list|* the letter of the board on the fee of this year"],
+    ["markdown list|+ the first of the papers that were asked for", "markdown list|+ the second of the papers that were asked for"],
+    # frames of pages, and links inside content
+    ["html chrome|<a href='/'>Home</a> <a href='/fees'>Fees</a> <a href='/forms'>Forms</a>", "html chrome|<a href='/en'>English</a> <a href='/de'>Deutsch</a>", "html text|<p>The fee of the year is due on the first day of each month at the office.</p>", "html text|<p>See <a href='/guide'>the guide</a> for the other forms that are asked for.</p>"],
+    ["markdown chrome|[Home](/) [Fees](/fees) [Help](/help)", "markdown chrome|[Print](/p) [Share](/s)", "markdown text|The form is signed in the presence of a member of the [board](/board) of the town."],
+    ["markdown text|The office keeps a copy of each of the papers for the time of a year.", "markdown chrome|[Imprint](/i) [Privacy](/d) [Contact](/c)"],
+    ["- text|The papers that are asked for are named in the guide of the office:", "markdown list|- [the guide](/guide) to the forms of the first kind and of the second", "markdown list|- [the table](/table) of the fees of the year and of the one before"],
+    ["wiki chrome|[[Category:Forms]]", "wiki chrome|[[Category:Offices]]"],
+    ["wiki text|[[Fees]] and [[forms]]. [[Category:Office]]", "wiki text|The [[board]]. The [[office]]."],
+    ["markdown text|[The guide](/guide) has [the forms](/forms).", "markdown text|[Ask](/ask) us."],
+    ["wiki text|The fee of the [[office]] is set anew by the board in each of the years.", "wiki text|It is paid by a [[letter]] to the bank or at the [[office|window]] in person."],
+    ["html text|<a href='/guide'>The guide to the forms that are asked for in the first year</a> was changed last month by the board of the office and holds from now on.", "html text|<p>The fees stay as they are.</p>"],
 ]
 
 
-@cache
-def trees() -> tuple[dict[str, Node], Node]:
-    """The trees for each of the kinds and the tree for the roles, grown on the labelled table."""
-    kind_rows: dict[str, list] = {k: [] for k in KINDS}
-    kind_labels: dict[str, list] = {k: [] for k in KINDS}
-    role_rows, role_labels = [], []
-    for lines in LABELLED:
+def labelled_rows(table: list[list[str]]) -> dict[str, tuple[list[list[float]], list[str]]]:
+    """Features and labels of the blocks of a labelled table, for each kind, for "role" and for "frame"."""
+    out: dict[str, tuple[list, list]] = {name: ([], []) for name in (*KINDS, "role", "frame")}
+    for lines in table:
         labels = [x.partition("|")[0].split(" ") for x in lines]
         blocks = Blocks("\n".join(x.partition("|")[2] for x in lines))
         for k, (kinds, role) in enumerate(labels):
-            for kind in KINDS:
-                kind_rows[kind].append(blocks.kind_row(k, kind))
-                kind_labels[kind].append("yes" if kind in kinds.split("+") else "no")
-            role_rows.append(blocks.role_row(k))
-            role_labels.append(role)
-    return {kind: grow(kind_rows[kind], kind_labels[kind]) for kind in KINDS}, grow(role_rows, role_labels)
+            made = {kind: (blocks.kind_row(k, kind), "yes" if kind in kinds.split("+") else "no") for kind in KINDS}
+            made |= {"role": (blocks.role_row(k), role), "frame": (blocks.frame_row(k), "frame" if role == "chrome" else "content")}
+            for name, (row, label) in made.items():
+                out[name][0].append(row)
+                out[name][1].append(label)
+    return out
+
+
+@cache
+def trees() -> dict[str, Node]:
+    """The trees for each of the kinds, for roles and for the page's frame, grown on the labelled table."""
+    return {name: grow(rows, labels) for name, (rows, labels) in labelled_rows(LABELLED).items()}
 
 
 _ANY = re.compile(r"[<&#*_`~|>\[{=\\$!+\-']|\d[.)] ")
@@ -168,18 +199,20 @@ _ANY = re.compile(r"[<&#*_`~|>\[{=\\$!+\-']|\d[.)] ")
 
 def analyse(text: str) -> tuple[set[str], list[tuple[str, str, set[str]]]]:
     """The kinds of markup of a text, and of each block its line, role and kinds."""
-    kind_trees, role_tree = trees()
+    grown = trees()
     blocks = Blocks(text)
     out, found = [], set()
     fenced = False
     for k, line in enumerate(blocks.lines):
-        here = {kind for kind in KINDS if any(blocks.marks[k][kind]) and decide(kind_trees[kind], blocks.kind_row(k, kind)) == "yes"}
+        here = {kind for kind in KINDS if any(blocks.marks[k][kind]) and decide(grown[kind], blocks.kind_row(k, kind)) == "yes"}
         fence = "markdown" in here and re.match(r"\s*(?:```|~~~)", line) is not None
         if fenced and not fence:
             here = set()
-        role = "code" if fenced or fence else decide(role_tree, blocks.role_row(k)) if line.strip() else "text"
+        role = "code" if fenced or fence else decide(grown["role"], blocks.role_row(k)) if line.strip() else "text"
         if fence:
             fenced = not fenced
+        if here and blocks.linked[k] and role in ("text", "chrome"):
+            role = "chrome" if decide(grown["frame"], blocks.frame_row(k)) == "frame" else "text"
         found |= here
         out.append((line, role, here))
     return found, out
@@ -244,7 +277,7 @@ def clean(text: str) -> tuple[str, list[str], list[str]]:
     """(clean text, kinds of markup, roles of its blocks).
 
     Headings come out as # lines, list items as - lines, table rows with their cells between bars; code and
-    formulas stay as they are. Blocks that are links nearly throughout, beside no text, are left out.
+    formulas stay as they are. Blocks of markup that are the page's frame, links beside no text, are left out.
     """
     kinds, blocks = analyse(text)
     out, roles = [], []
@@ -267,7 +300,7 @@ def clean(text: str) -> tuple[str, list[str], list[str]]:
             s = _bare_markdown(s, role)
         if role == "code" and re.match(r"\s*(?:```|~~~)", s):
             continue
-        if role == "chrome" and not s.strip("- \n"):
+        if role == "chrome":
             continue
         s = re.sub(r"\n{2,}", "\n", s).strip("\n")
         if s.strip() or not line.strip():
