@@ -1,7 +1,7 @@
 """Splitting oversized texts at natural boundaries, by packing a structure tree.
 
-A text is a tree: sections nested by the depth of their headings, then paragraphs, lines (list items, table rows),
-sentences, clauses, characters. Sibling subtrees are merged up to the limit, never the parts of different
+A text is a tree: sections nested by the depth of their headings, then paragraphs, list items with
+what is indented below them and table rows, lines, sentences, clauses, characters. Sibling subtrees are merged up to the limit, never the parts of different
 parents; only a node that is itself over the limit is opened. Every piece but the first begins with the
 ``overlap`` last characters before its own part, so neighbours share exactly that many characters.
 """
@@ -24,6 +24,7 @@ _HEADING = re.compile(r"^(?:(?P<md>#{1,6}) +(?P<t1>.*)|(?P<wiki>={2,6}) *(?P<t2>
 #: Boundaries below sections, from strong to weak; a child ends where a match ends. Fixed values.
 _LEVELS = [
     re.compile(r"\n[ \t　\r]*\n\s*"),
+    re.compile(r"\n(?=(?:[-*+•] |\d{1,3}[.)、] ?|\\item\b|<li\b|\|)\S?)"),
     re.compile(r"\n"),
     re.compile(r"[。！？!?।؟…]+[”’」』）)\]\"']*[ 　]*|\.[”’\"')\]]*[ 　]+|</(?:p|li|tr|div|table|ul)>|\\\\ "),
     re.compile(r"[，、；：,;:،][ 　]*|[ 　]+"),

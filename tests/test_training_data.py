@@ -86,6 +86,11 @@ def test_sections_nest():
     assert [(x.start, x.depth, x.path) for x in inner] == [(text.index("\\sub"), 2, ("One", "Two")), (text.index("=="), 2, ("One", "Four"))]
 
 
+def test_list_items_keep_what_is_below_them():
+    text = "- one\n  - one a\n  - one b\n- two\n  - two a\n- three"
+    assert [text[s:e] for s, e, _ in pack(text, 26, 0)] == ["- one\n  - one a\n  - one b\n", "- two\n  - two a\n- three"]
+
+
 def test_natural_boundaries():
     text = "# 一\n" + "甲乙丙丁。" * 10 + "\n\n# 二\n" + "戊己庚辛。" * 10
     cuts = [text[s:e] for s, e, _ in pack(text, 70, 0)]
