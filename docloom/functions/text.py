@@ -78,22 +78,40 @@ def is_core_section(path: Column, profile: Profile = ZH) -> Column:
     return reduce(lambda a, b: a | b, (joined.contains(w) for w in profile.core_sections))
 
 
-def semantic_type(text: Column, profile: Profile = ZH) -> Column:
-    """The first class of which a pattern occurs, else the profile's other; null for null."""
-    out = None
+def first_pattern(text: Column, profile: Profile = ZH) -> Column:
+    """The number of the first pattern that occurs, through all classes in order; -1 if none does, null for null.
+
+    Looks for a class as a whole first, so a text of no class costs one search for each class. Make it a column of
+    its own where both the class and the trigger words are wanted.
+    """
+    out = F.lit(-1)
+    number = sum(len(patterns) for _, patterns in profile.classes)
+    for _, patterns in reversed(profile.classes):
+        number -= len(patterns)
+        inner = F.lit(None).cast("int")
+        for k, p in reversed(list(enumerate(patterns))):
+            inner = F.when(text.rlike(java(occurs(p))), F.lit(number + k)).otherwise(inner)
+        out = F.when(text.rlike(java(any_of([occurs(p) for p in patterns]))), inner).otherwise(out)
+    return F.when(text.isNotNull(), out)
+
+
+def semantic_type(first: Column, profile: Profile = ZH) -> Column:
+    """The class of a text by its first pattern, the profile's other if there is none; null for null."""
+    out, number = F.lit(profile.other), 0
+    bounds = []
     for name, patterns in profile.classes:
-        hit = text.rlike(java(any_of([occurs(p) for p in patterns])))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when(text.isNotNull(), out.otherwise(profile.other))
+        bounds.append((name, number, number + len(patterns) - 1))
+        number += len(patterns)
+    for name, low, high in reversed(bounds):
+        out = F.when(first.between(low, high), name).otherwise(out)
+    return F.when(first.isNotNull(), out)
 
 
-def trigger_words(text: Column, profile: Profile = ZH) -> Column:
-    """All occurrences of the first pattern that occurs, classes and patterns in order; none gives an empty array."""
+def trigger_words(text: Column, first: Column, profile: Profile = ZH) -> Column:
+    """All occurrences of the first pattern that occurs; none gives an empty array, null null."""
     out = F.array().cast("array<string>")
-    for _, patterns in reversed(profile.classes):
-        for p in reversed(patterns):
-            found = F.regexp_extract_all(text, F.lit(java(p)), F.lit(0))
-            out = F.when(text.rlike(java(occurs(p))), found).otherwise(out)
+    for k, p in enumerate(p for _, patterns in profile.classes for p in patterns):
+        out = F.when(first == k, F.regexp_extract_all(text, F.lit(java(p)), F.lit(0))).otherwise(out)
     return F.when(text.isNotNull(), out)
 
 

@@ -52,12 +52,13 @@ def denoise(rows: DataFrame, id_col: str, repeat: int = 3, profile: Profile = ZH
 
     A sentence that comes ``repeat`` times or more in its document is repetitive, boilerplate goes first, a
     blank one is never skipped. The rows are partitioned by document and sentence, so a long document is
-    spread over tasks; counts are aggregated before the exchange and joined back.
+    spread over tasks, and its blank lines are too; counts are aggregated before the exchange and joined back.
     """
-    key = X.strip(F.col("sentence"))
-    keyed = rows.withColumn("_key", key)
+    # blank lines have no count to be joined: they go to any task, under keys that no sentence has
+    spread = F.concat(F.lit("\n"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    keyed = rows.withColumn("_key", X.strip(F.col("sentence"))).withColumn("_at", F.when(F.col("_key") == "", spread).otherwise(F.col("_key")))
     times = keyed.where("_key <> ''").groupBy(id_col, "_key").agg(F.count("*").alias("repeats")).where(F.col("repeats") >= repeat)
-    out = keyed.join(times, [id_col, "_key"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+    out = keyed.join(times.withColumnRenamed("_key", "_at"), [id_col, "_at"], "left").drop("_at").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
     reason = F.when(F.col("_key") == "", "").when(X.is_boilerplate(F.col("_key"), profile), "boilerplate").when(F.col("repeats") >= repeat, "repetitive").otherwise("")
     return out.withColumn("reason", reason).withColumn("skip_embedding", F.col("reason") != "").drop("_key")
 

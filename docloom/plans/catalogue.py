@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from docloom.functions import text as X
 from docloom.operators import cleaning, embedding, extraction, generation, retrieval, structure, terminology
 from docloom.plans import chunk_sql as sql
 from docloom.profiles import HEADING, LIST_ITEM, RE2_SPACE, SPECIAL_LINE, ZH, re2
-from docloom.session import table
+from docloom.session import shared_folder, table
+from docloom.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -186,7 +188,8 @@ def markdown_blocks(spark, d):
 
 @query(f"SELECT chunk_id, {_class_case('text')} AS semantic_type, array_to_string({_triggers('text')}, '|') AS trigger_words FROM test_semantic_chunks WHERE text IS NOT NULL")
 def semantic_type(spark, d):
-    return _chunks(spark, d).where("text is not null").select("chunk_id", X.semantic_type(F.col("text")).alias("semantic_type"), F.array_join(X.trigger_words(F.col("text")), "|").alias("trigger_words"))
+    rows = _chunks(spark, d).where("text is not null").select("chunk_id", "text", X.first_pattern(F.col("text")).alias("first"))
+    return rows.select("chunk_id", X.semantic_type(F.col("first")).alias("semantic_type"), F.array_join(X.trigger_words(F.col("text"), F.col("first")), "|").alias("trigger_words"))
 
 
 @query(
@@ -258,6 +261,24 @@ def chunk_type_histogram(spark, d):
     return _chunks(spark, d).groupBy(F.coalesce("metadata.chunk_type", F.lit("")).alias("chunk_type"), F.coalesce("metadata.semantic_type", F.lit("")).alias("semantic_type")).agg(F.count_distinct("chunk_id").alias("chunks"))
 
 
+@query(
+    """SELECT DISTINCT chunk_id, text, embedding_text, metadata.chunk_type AS chunk_type, array_to_string(metadata.section_path, ' > ') AS section_path, metadata.heading_level AS heading_level, metadata.char_count AS char_count, metadata.source_file AS source_file,
+    metadata.has_table AS has_table, metadata.semantic_type AS semantic_type, len(metadata.key_terms) AS key_terms, coalesce(len(sentence_infos), 0) AS sentences, coalesce(len(list_filter(sentence_infos, lambda s: coalesce(s.skip_embedding, false))), 0) AS skipped FROM test_semantic_chunks"""
+)
+def chunk_json_round_trip(spark, d):
+    """Chunks written as JSON arrays and read again."""
+    folder = f"{shared_folder(spark)}/chunks-{uuid4().hex}"
+    chunks = _chunks(spark, d)
+    sinks.chunk_arrays(chunks, folder, "metadata.source_file")
+    read = readers.chunk_json(spark, folder, pattern="*", per_line=True)
+    meta = [F.col(f"metadata.{c}").alias(c) for c in ("chunk_type", "heading_level", "char_count", "source_file", "has_table", "semantic_type")]
+    n = lambda c: F.greatest(F.size(c), F.lit(0))
+    terms = F.when(F.col("metadata.key_terms").isNotNull(), F.size("metadata.key_terms"))
+    infos = F.coalesce("sentence_infos", F.array().cast(read.schema["sentence_infos"].dataType))
+    rows = read.select("chunk_id", "text", "embedding_text", *meta, F.array_join("metadata.section_path", " > ").alias("section_path"), terms.alias("key_terms"), n(infos).alias("sentences"), F.size(F.filter(infos, lambda s: s["skip_embedding"])).alias("skipped"))
+    return rows.distinct()
+
+
 # ---- terms ----
 
 _INDEX = "(SELECT variant, max_by(standard, (coalesce(ord, 0), standard)) AS standard FROM lexicon WHERE variant <> '' AND standard IS NOT NULL GROUP BY variant)"
@@ -321,6 +342,18 @@ def file_text(spark, d):
     return extraction.file_text(extraction.distinct_items(table(spark, d, "content_item")))
 
 
+@query(
+    f"""SELECT file_id, item_no, array_to_string(CASE WHEN len(a) > 0 THEN a ELSE b END, '|') AS lines FROM (SELECT file_id, item_no, list_filter(list_transform(coalesce(list_items, []), lambda x: {_strip('x')}), lambda x: x <> '') AS a,
+    list_filter([{_strip('text')}], lambda x: x <> '') AS b FROM {_ITEMS})"""
+)
+def recognised_lines(spark, d):
+    """Lines of recognition results, in the first of their shapes that holds any."""
+    none = F.lit(None).cast("array<string>")
+    pairs = F.lit(None).cast("array<struct<text:string>>")
+    items = extraction.distinct_items(table(spark, d, "content_item")).where("file_id is not null")
+    return items.select("file_id", "item_no", F.array_join(extraction.recognised_lines(F.col("list_items"), none, F.array("text"), none, pairs), "|").alias("lines"))
+
+
 @query(
     f"""SELECT file_id, count(*) AS total_items, {', '.join(f"count(*) FILTER (WHERE type = '{k}') AS {k}_items" for k in ('text', 'list', 'image', 'table'))},
     coalesce(sum(length(text)) FILTER (WHERE type = 'text'), 0)::BIGINT AS text_length, count(DISTINCT page_idx) AS page_count, array_to_string(list_sort(list_filter(list(DISTINCT page_idx), lambda x: x IS NOT NULL)), ',') AS pages FROM {_ITEMS} GROUP BY file_id"""
@@ -410,6 +443,19 @@ def ivf_topk(spark, d):
     return retrieval.IvfIndex(e, "vec_id", "embedding").search(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 20, probes=24)
 
 
+_GRAMS = """WITH t AS (SELECT doc_id, rpad(text, greatest(length(text), 3)::INT, chr(0)) AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, substring(t, i, 3) AS g, count(*) AS k FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t) GROUP BY ALL),
+    h AS (SELECT g, list_reduce(list_transform(string_split(g, ''), lambda c: unicode(c)::UHUGEINT), lambda a, c: xor((xor(a, c) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT, ((xor(a, c) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) // 536870912::UHUGEINT), 0::UHUGEINT) AS h FROM (SELECT DISTINCT g FROM p)),
+    n AS (SELECT doc_id, (h % 64)::INT AS cell, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN k ELSE -k END)::INT AS v FROM p JOIN h USING (g) GROUP BY ALL)"""
+
+
+@query(_GRAMS + " SELECT doc_id, cell, v AS grams FROM n WHERE v <> 0")
+def document_grams(spark, d):
+    """What the default encoder counts before the vectors get length 1."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", embedding.encode(F.col("text"), normalise=False).alias("vec"))
+    return rows.select("doc_id", F.posexplode("vec").alias("cell", "grams")).where("grams <> 0").withColumn("grams", F.col("grams").cast("int"))
+
+
 @query()
 def document_vectors(spark, d):
     return table(spark, d, "documents").select("doc_id", embedding.encode(F.col("text")).alias("vec"))
@@ -490,7 +536,9 @@ def stream_window_counts(spark, d):
 
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    name = f"docloom_stream_{abs(hash(d))}"
     counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = f"{shared_folder(spark)}/window-counts-{uuid4().hex}"
+    # each micro-batch replaces the table of counts; none of it passes through the driver
+    keep = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-progress").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    keep.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))

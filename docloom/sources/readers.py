@@ -122,9 +122,9 @@ def documents(spark: SparkSession, folder: str, extractor: Callable[[str, bytes]
     return out.unionByName(made.withColumnRenamed("markdown", "text"))
 
 
-def chunk_json(spark: SparkSession, folder: str, sentences: bool = True, strict: bool = True) -> DataFrame:
-    """Chunks of all *_chunks.json files of a folder (JSON arrays); an unknown metadata key is an error if ``strict``."""
-    raw = spark.read.option("pathGlobFilter", "*_chunks.json").text(folder, wholetext=True)
+def chunk_json(spark: SparkSession, folder: str, sentences: bool = True, strict: bool = True, pattern: str = "*_chunks.json", per_line: bool = False) -> DataFrame:
+    """Chunks of all JSON arrays in a folder's files, one array a file or ``per_line``; an unknown metadata key is an error if ``strict``."""
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=not per_line)
     chunk = F.from_json("value", f"ARRAY<STRUCT<{_colons(CHUNK)}>>", {"mode": "FAILFAST"})
     keys = F.from_json("value", "ARRAY<STRUCT<metadata: MAP<STRING, STRING>>>")
     both = raw.select(F.explode(F.arrays_zip(chunk.alias("c"), keys.alias("m"))).alias("z")).select("z.*")

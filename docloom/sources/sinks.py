@@ -21,6 +21,19 @@ def chunk_json(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     chunks.select(bare.alias("value")).write.mode(mode).text(path)
 
 
+def chunk_arrays(chunks: DataFrame, path: str, by: str, per: int = 1_000, mode: str = "overwrite") -> None:
+    """Chunks as JSON arrays, one a line, each of chunks of one document: about ``per`` of them, more arrays for more.
+
+    So no document, however many chunks it has, comes into one array. Chunks without a document are one of their own.
+    """
+    rows = chunks.withColumn("_by", F.coalesce(F.col(by).cast("string"), F.lit("")))
+    sizes = rows.groupBy("_by").agg(F.ceil(F.count("*") / per).alias("_parts"))
+    json = F.to_json(F.struct(*chunks.columns), {"ignoreNullFields": "false"})
+    parts = rows.select("_by", "chunk_id", json.alias("_json")).join(sizes, "_by").withColumn("_part", F.pmod(F.xxhash64("chunk_id"), "_parts"))
+    arrays = parts.groupBy("_by", "_part").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("_json")), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.mode(mode).text(path)
+
+
 def cleaned_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(path, text) rows as Parquet, one row a document: no small file for each."""
     df.select("path", "text").write.mode(mode).parquet(path)

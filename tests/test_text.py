@@ -40,8 +40,8 @@ def test_columns_and_plain_functions_agree(texts):
     both(texts, X.drop_edge_lines(c), L.edge_lines_gone)
     both(texts, X.sentences(c), L.sentences)
     both(texts, cleaning.join_broken_lines(c), L.join_broken_lines)
-    both(texts, X.semantic_type(c), lambda t: L.classify(t)[0])
-    both(texts, X.trigger_words(c), lambda t: L.classify(t)[1])
+    both(texts, X.semantic_type(X.first_pattern(c)), lambda t: L.classify(t)[0])
+    both(texts, X.trigger_words(c, X.first_pattern(c)), lambda t: L.classify(t)[1])
 
 
 @settings(max_examples=300, deadline=None)
