@@ -3,7 +3,7 @@
 One pass counts, for each language: words with and without a final period, what stands at the beginning of
 lines and behind unmistakable ends, what follows a closing quotation or an ellipsis, and which word follows which
 period. Log-likelihood ratios over these counts tell abbreviations (words that keep company with a period) and
-sentence starters (words drawn to beginnings). A second pass decides each candidate with them. Scripts
+sentence starters (words drawn to beginnings) and collocations (words drawn to the number before a period). A second pass decides each candidate with them. Scripts
 without spaces use the first characters in place of the first word; Thai has no marks, so its spaces are
 the candidates.
 """
@@ -226,12 +226,12 @@ def _log_likelihood(k: F.Column, n: F.Column, p0: F.Column) -> F.Column:
 
 @dataclass
 class SentenceModel:
-    """Abbreviations, starters, continuations of quotations and followers of ordinals by language: what the decisions need."""
+    """Abbreviations, starters, continuations of quotations and collocations over a period by language: what the decisions need."""
 
     abbreviations: set[tuple[str, str]] = field(default_factory=set)
     starters: set[tuple[str, str]] = field(default_factory=set)
     continuations: set[tuple[str, str]] = field(default_factory=set)
-    ordinals: set[tuple[str, str]] = field(default_factory=set)
+    collocations: set[tuple[str, str]] = field(default_factory=set)
 
 
 def count_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -241,7 +241,7 @@ def count_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def learn_tables(stats: DataFrame, least: int = 1, min_ratio: float = 7.88) -> DataFrame:
-    """(kind, lang, word) of the abbreviations, starters, continuations and followers of ordinals seen ``least`` times."""
+    """(kind, lang, word) of the abbreviations, starters, continuations and collocations seen ``least`` times."""
     single = stats.where("kind <> 'pair'").groupBy("lang", F.col("word").alias("w")).agg(
         *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in ("start", "quote", "word", "dot", "mid", "ellipsis"))
     )
@@ -270,13 +270,19 @@ def learn_tables(stats: DataFrame, least: int = 1, min_ratio: float = 7.88) -> D
     score = affinity * F.exp(-length / 3) * (1 + F.length("word") - length) * F.pow(length, -F.col("n_word") / (1 + F.col("n_dot")))
     short = judged.where(f"n_dot >= {least} and all_words > 0").join(inside, ["lang", "word"])
     abbreviation = (F.col("n_dot") > F.col("n_word")) & (score >= 0.3) & (F.col("inside") * 5 >= F.col("followed")) & ~F.col("word").contains("#")
-    # what stands behind numbers with a period for a good part, and begins no sentence: as months do behind the day
-    behind = pairs.where("word = '#' and next not like '#%'").select("lang", F.col("next").alias("word"), F.col("n").alias("n_behind"))
-    ordinal = behind.join(judged.where("n_start = 0"), ["lang", "word"]).where(f"n_behind >= {max(3, least)} and n_behind * 5 >= n_behind + n_mid").select("lang", "word")
+    # collocations over a period: what begins no sentence, and stands behind numbers or single letters far more often than
+    # its share of all words lets expect, and there for a good part, as months do behind the day
+    behind = pairs.where("(word = '#' or length(word) = 1) and next not like '#%'").join(inside.select("lang", "word", "followed"), ["lang", "word"])
+    behind = behind.select("lang", F.col("word").alias("first"), F.col("next").alias("word"), F.col("n").alias("n_behind"), "followed")
+    told = behind.join(judged.where("n_start = 0 and all_words > 0"), ["lang", "word"])
+    bound = _log_likelihood(F.col("n_behind"), F.col("followed"), (F.col("n_word") + F.col("n_dot")) / F.col("all_words"))
+    likely = F.col("n_behind") / F.col("followed") > (F.col("n_word") + F.col("n_dot")) / F.col("all_words")
+    told = told.where(likely & (bound > min_ratio)).where(f"n_behind >= {max(3, least)} and n_behind * 5 >= n_behind + n_mid")
+    collocation = told.select("lang", F.concat_ws(" ", "first", "word").alias("word"))
     return (
         judged.where("starter").select(F.lit("starter").alias("kind"), "lang", "word")
         .unionByName(judged.where("goes_on").select(F.lit("continuation").alias("kind"), "lang", "word"))
-        .unionByName(ordinal.select(F.lit("ordinal").alias("kind"), "lang", "word"))
+        .unionByName(collocation.select(F.lit("collocation").alias("kind"), "lang", "word"))
         .unionByName(short.where(abbreviation).select(F.lit("abbreviation").alias("kind"), "lang", "word"))
     )
 
@@ -287,7 +293,7 @@ MAX_ENTRIES = 1_000_000
 
 def model_of(entries: list[tuple[str, str, str]]) -> SentenceModel:
     model = SentenceModel()
-    sets = {"starter": model.starters, "continuation": model.continuations, "abbreviation": model.abbreviations, "ordinal": model.ordinals}
+    sets = {"starter": model.starters, "continuation": model.continuations, "abbreviation": model.abbreviations, "collocation": model.collocations}
     for kind, lang, word in entries:
         sets[kind].add((lang, word))
     return model
@@ -376,7 +382,7 @@ def sentence_ends(line: str, model: SentenceModel) -> list[int]:
                 if (where, word) in model.abbreviations:
                     if kind == "digit" or not starts and kind == "spaced":
                         continue
-                elif number and (kind == "digit" or not opens and nxt in model.ordinals):
+                elif number and kind == "digit" or not opens and (lang, f"{'#' if number else word} {nxt[1]}") in model.collocations:
                     continue
                 elif kind == "digit" and len(word) <= 3:
                     continue

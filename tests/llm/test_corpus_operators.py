@@ -185,6 +185,20 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in find_leaks(docs, items).collect()} == whole and len(whole) == 20
 
 
+def test_leaks_of_many_items(spark, monkeypatch):
+    import docloom.llm.leakage as module
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop 天地玄黄") for _ in range(n))
+    items = [(k, word(120)) for k in range(20)] + [(20, None), (21, "short")]
+    items += [(22, items[0][1]), (None, items[1][1])]
+    docs = [(k, word(100) + items[k % 20][1][10 : 60 + k % 25] + word(50)) for k in range(60)] + [(100, None), (101, ""), (None, items[2][1]), (5, items[3][1]), (5, items[3][1])]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sent = sorted(map(str, find_leaks(ddf, idf).collect()))
+    monkeypatch.setattr(module, "MAX_PASSES", 0)
+    assert sorted(map(str, find_leaks(ddf, idf).collect())) == sent and len(sent) > 60
+
+
 def test_shared_spans(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abcdefgh 天地玄黄") for _ in range(n))

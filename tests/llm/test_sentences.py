@@ -60,8 +60,8 @@ def test_ellipses_end_before_what_begins_sentences(spark):
     assert cut("这……恐怕要等。", model) == ["这……恐怕要等。"]
 
 
-def test_ordinals_are_learned(model):
-    assert ("de", "März") in model.ordinals and not {("de", "Danach"), ("de", "Der")} & model.ordinals
+def test_collocations_are_learned(model):
+    assert ("de", "# März") in model.collocations and not {("de", "# Danach"), ("de", "# Der")} & model.collocations
 
 
 def test_scripts_without_word_lists(spark):
