@@ -111,7 +111,10 @@ def trigger_words(text: Column, first: Column, profile: Profile = ZH) -> Column:
     """All occurrences of the first pattern that occurs; none gives an empty array, null null."""
     out = F.array().cast("array<string>")
     for k, p in enumerate(p for _, patterns in profile.classes for p in patterns):
-        out = F.when(first == k, F.regexp_extract_all(text, F.lit(java(p)), F.lit(0))).otherwise(out)
+        # a lazy beginning always reaches back to its clause's start or the last occurrence; without being told
+        # so, the search starts anew at every character of a clause without an occurrence
+        told = java(p) if occurs(p) == p else java(rf"(?:\G|(?<=[，。；])){p}")
+        out = F.when(first == k, F.regexp_extract_all(text, F.lit(told), F.lit(0))).otherwise(out)
     return F.when(text.isNotNull(), out)
 
 
