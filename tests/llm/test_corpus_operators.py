@@ -218,6 +218,18 @@ def test_shared_spans(spark):
                 if any(t[i : i + 20] in windows[o] for o in windows if o != d):
                     marked |= set(range(i, i + 20))
             assert shares.get(d, 0) == len(marked)
+    islands = set()
+    for d, t in docs:
+        if d is not None and t:
+            at = [i for i in range(len(t) - 19) if any(t[i : i + 20] in windows[o] for o in windows if o != d)]
+            begins = [i for i in at if i - 1 not in at]
+            islands |= {(d, i, next(j for j in range(i, len(t)) if j not in at) - 1 + 20) for i in begins}
+    assert {tuple(r) for r in shared.spans().collect()} == islands
+    # the groups hold every pair, and no other
+    held = {}
+    for r in shared.groups().collect():
+        held.setdefault(r["span"], set()).add(r["id"])
+    assert {(a, b) for ids in held.values() for a in ids for b in ids if a < b} == want and all(len(ids) > 1 for ids in held.values())
     assert SharedSpans(df.limit(0), span=20).pairs().count() == 0
 
 
